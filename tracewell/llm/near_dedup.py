@@ -8,15 +8,17 @@
 2. Equal sets are one class from here on, whatever the number of copies.
 3. Registers are banded; classes that agree in a whole band meet in a bucket.  Bands
    are as long as they can be with a chance of under one in a million that two sets
-   right at the threshold share none.
-4. In each bucket all classes are compared with its least one: first by registers,
-   corrected for chance collisions, then, when the estimate is within six standard
-   deviations of the threshold, on their full sets.  That is linear in bucket sizes.
-   Verified links give components.
-5. Only in buckets that still hold several components the classes of different ones
-   are compared by registers too, in blocks of bounded size; whatever comes near
-   the threshold is verified.  No pair of different components goes unseen there,
-   and pairs that are connected already, as in a group of many near copies, cost nothing.
+   right at the threshold share none.  A bucket is led by the class that meets most
+   others, so that the buckets of a family of near copies have few leaders; all
+   classes in buckets of one leader are its group.
+4. A group is dealt into blocks of bounded size, its leader being in each.  Within a
+   block classes are compared by registers, corrected for chance collisions, and,
+   when the estimate is within six standard deviations of the threshold, by their
+   full sets, unless links found before connect them already.  Only links that join
+   two components are kept.  This is linear in the size of a group.
+5. Only groups of several blocks that still hold several components go on: there
+   classes of different components are compared across blocks, a pair of blocks at a
+   time.  So every pair that shares a band is either connected or verified.
 
 Defined results: a null or wordless text has an empty set and stays alone; a text of
 fewer words than a shingle is one shingle; rows that repeat a doc_id with the same
@@ -127,107 +129,75 @@ def _sketches(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 sets, _ = shingle_sets(part.column("text"), n)
-                registers = sketch(sets, k)
-                keys = band_keys(registers, rows)
-                names = ["doc_id", "n_shingles", "digest", "registers", "bands"]
+                keys = band_keys(sketch(sets, k), rows)
+                names = ["doc_id", "n_shingles", "digest", "bands"]
                 columns = [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([r.tobytes() for r in registers], pa.binary()),
                     pa.array(list(keys), pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, registers binary, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
-def _matrix(column: pa.Array, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, k)
-
-
-def _near(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Of pairs u, v of classes, those whose registers and sizes allow the threshold."""
-    least = least_estimate(threshold, k)
-    a = classes.select(F.col("id").alias("u"), F.col("registers").alias("ru"), F.col("n").alias("nu"))
-    b = classes.select(F.col("id").alias("v"), F.col("registers").alias("rv"), F.col("n").alias("nv"))
-    both = pairs.join(a, "u").join(b, "v").where(F.least("nu", "nv") >= F.lit(threshold - 1e-9) * F.greatest("nu", "nv"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = (_matrix(batch.column("ru"), k) == _matrix(batch.column("rv"), k)).sum(axis=1)
-                keep = pa.array(estimate(same, k) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
-
-    kind = classes.schema["id"].dataType.simpleString()
-    return both.select("u", "v", "ru", "rv").mapInArrow(run, f"u {kind}, v {kind}")
-
-
-def _near_in_blocks(members: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Pairs of a bucket's classes that are in different components and whose registers allow the threshold.
-
-    members: key, id, component, n, registers.  A bucket of over BLOCK classes is dealt into
-    blocks, and each pair of blocks is a group of its own, so no task holds a whole bucket.
-    """
-    least = least_estimate(threshold, k)
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.hash("id"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "registers")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        a = group[group["block"] == i]
-        b = a if i == j else group[group["block"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"u": group["id"].iloc[:0], "v": group["id"].iloc[:0]})
-        ra, rb = (np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(-1, k) for x in (a, b))
-        na, nb, ca, cb = a["n"].to_numpy(), b["n"].to_numpy(), a["component"].to_numpy(), b["component"].to_numpy()
-        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-        us, vs = [ids_a[:0]], [ids_a[:0]]
-        for x in range(len(a)):
-            able = np.flatnonzero((cb != ca[x]) & (np.minimum(nb, na[x]) >= (threshold - 1e-9) * np.maximum(nb, na[x])))
-            good = able[estimate((rb[able] == ra[x]).sum(axis=1), k) >= least]
-            us.append(np.minimum(ids_b[good], ids_a[x]))
-            vs.append(np.maximum(ids_b[good], ids_a[x]))
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
-
-    kind = members.schema["id"].dataType.simpleString()
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, f"u {kind}, v {kind}").distinct()
-
-
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Full shingle sets (8-byte hashes, ascending) of the classes' representatives."""
+def _bodies(docs: DataFrame, ids: DataFrame, n: int, k: int) -> DataFrame:
+    """Registers and full sets (8-byte hashes, ascending) of the classes that share a bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 sets, _ = shingle_sets(part.column("text"), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                columns = [part.column("doc_id"), pa.array([r.tobytes() for r in sketch(sets, k)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "registers", "set"])
 
-    chosen = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, f"id {kind}, set binary").dropDuplicates(["id"])
+    chosen = docs.hint("merge").join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    return chosen.mapInArrow(run, f"id {kind}, registers binary, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs whose full sets have the similarity; decided in whole numbers."""
-    over, under = threshold.numerator, threshold.denominator
-    a, b = (sets.select(F.col("id").alias(c), F.col("set").alias("s" + c)) for c in "uv")
+def new_links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: Fraction, k: int) -> list[tuple]:
+    """Verified links between left and right (or within left) that connect what no earlier one connects.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("su"), batch.column("sv"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(under * both >= over * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "uv"], names=["u", "v"])
+    Columns: id, component, registers, set; rows of one component count as connected.
+    """
+    over, under, limit = threshold.numerator, threshold.denominator, float(threshold)
+    rows = left if right is None else pd.concat([left, right], ignore_index=True)
+    ids, registers = rows["id"].to_numpy(), np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, k)
+    sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    component = pd.factorize(rows["component"])[0]
+    least, found = least_estimate(limit, k), []
+    for x in range(len(left)):
+        start = x + 1 if right is None else len(left)
+        other = np.arange(start, len(rows))
+        other = other[(component[other] != component[x]) & (np.minimum(sizes[other], sizes[x]) >= (limit - 1e-9) * np.maximum(sizes[other], sizes[x]))]
+        if not len(other):
+            continue
+        other = other[estimate((registers[other] == registers[x]).sum(axis=1), k) >= least]
+        for y in other:
+            if component[y] != component[x]:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if under * both >= over * (sizes[x] + sizes[y] - both):
+                    component[component == component[y]] = component[x]
+                    found.append((ids[x], ids[y]))
+    return found
+
+
+def _linked(dealt: DataFrame, across: bool, threshold: Fraction, k: int) -> DataFrame:
+    """Links found in each group (leader, i, j) of blocks."""
+    kind = dealt.schema["id"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        if across:
+            right = group["block"] == group["j"]
+            links = new_links(group[~right], group[right], threshold, k)
+        else:  # the leader is first, as it is near most of its group
+            links = new_links(group.sort_values("id", key=lambda x: x != group["leader"].iloc[0]), None, threshold, k)
+        return pd.DataFrame({"u": pd.Series([u for u, _ in links], dtype=group["id"].dtype), "v": pd.Series([v for _, v in links], dtype=group["id"].dtype)})
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}")
+    return dealt.groupBy("leader", "i", "j").applyInPandas(run, f"u {kind}, v {kind}")
 
 
 def near_duplicates(
@@ -248,32 +218,34 @@ def near_duplicates(
     ids = named.groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = written(
         named.join(ids.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d")))
-        .select("id", F.col("d").alias("digest"), F.col("n_shingles").alias("n"), "registers", "bands").dropDuplicates(["id", "digest"]),
+        .select("id", F.col("d").alias("digest"), F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id", "digest"]),
         "classes",
     )
     # Sets that differ reach the threshold only from so many shingles on.
     least_n = math.ceil(limit / (1 - limit)) if limit < 1 else 1
     banded = classes.where(F.col("n") >= least_n).select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
-    buckets = written(banded.join(shared.select("key", "least"), "key"), "buckets")
-    stars = buckets.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
-    near = written(_near(stars, classes, float(limit), k), "near")
-    sets = written(_sets(docs, near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct(), shingle), "sets")
-    links = written(_verified(near, sets, limit), "links")
-    drop(near)
-    drop(sets)
-    component = connected_components(links)
-    members = buckets.select("key", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    open_ = members.join(split, "key").join(classes.select("id", "n", "registers"), "id")
-    more = written(_near_in_blocks(open_, float(limit), k), "more")
+    sizes = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = written(banded.join(sizes, "key"), "buckets")
+    degree = buckets.groupBy("id").agg(F.sum("m").alias("degree"))
+    leaders = buckets.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("leader"))
+    groups = buckets.select("key", "id").join(leaders, "key").groupBy("leader", "id").agg(F.lit(1).alias("one")).drop("one")
+    blocks = groups.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    groups = written(groups.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "groups")
     drop(buckets)
-    if not more.isEmpty():
-        more_sets = written(_sets(docs, more.select(F.col("u").alias("id")).unionByName(more.select(F.col("v").alias("id"))).distinct(), shingle), "sets")
-        new = written(_verified(more, more_sets, limit), "links")
-        drop(more_sets)
-        if not new.isEmpty():
-            component = connected_components(links.unionByName(new))
+    bodies = written(_bodies(docs, groups.select("id").distinct(), shingle, k), "bodies")
+    # A leader is in every block of its group.
+    in_blocks = groups.withColumn("i", F.explode(F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    in_blocks = in_blocks.select("leader", "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"))
+    links = written(_linked(in_blocks.join(bodies, "id"), False, limit, k), "links")
+    component = connected_components(links)
+    large = groups.where("blocks > 1").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = large.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("leader")
+    large = large.join(split, "leader").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    across = large.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
+    new = written(_linked(across.join(bodies, "id"), True, limit, k), "links")
+    if not new.isEmpty():
+        component = connected_components(links.unionByName(new))
+    drop(bodies)
     of_class = classes.select("digest", F.col("id").alias("class_id")).join(component.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").cast(kind).alias("class_id"), F.coalesce("component", "class_id", "doc_id").cast(kind).alias("component_id"))
