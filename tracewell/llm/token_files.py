@@ -95,11 +95,11 @@ def write_token_files(documents: DataFrame, path: str, doc_id: str = "doc_id", t
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids."""
     files = spark.read.parquet(path)
-    # One row for each part: a few MB even for a million parts.
+    # One row of two numbers for each part (as many as write_token_files was given), so it can be broadcast: 16 MB for a million parts.
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select(F.col("part"), before.alias("before"))
-    return files.join(starts, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
