@@ -85,3 +85,58 @@ def contamination(docs, items, window=10):
         names = sorted({str(i) for i in found if i is not None})
         out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()))
     return out
+
+
+def secrets(text):
+    """(kind, start, end) of the base kinds, by start and then kind."""
+    text, out = text or "", []
+    either = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    for m in re.finditer(rf"""({either})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(out)]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def units(text, least_gap=16, one_in=8, word_hash=None):
+    """Words (normalised) of a text and whether a unit ends after each."""
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+    ends = []
+    for k, m in enumerate(found):
+        w = m[0]
+        stop = w[-1] in ".!?" or w[-1] in "\"')]" and len(w) > 1 and w[-2] in ".!?"
+        line = k + 1 == len(found) or "\n" in text[m.end() : found[k + 1].start()]
+        ends.append(stop or line)
+    by_rule = list(ends)
+    for k, m in enumerate(found):
+        if k + 1 >= least_gap and not any(by_rule[k - least_gap + 1 : k + 1]) and word_hash(lower(m[0])) % one_in == 0:
+            ends[k] = True
+    return [(lower(m[0]), m.start(), m.end()) for m in found], ends
+
+
+def repeats(docs, least_words, word_hash):
+    """{id: [(start, end)]}: the removed ranges of each document."""
+    all_passages = []
+    for i in sorted(docs):
+        w, ends = units(docs[i], word_hash=word_hash)
+        starts = [0] + [k + 1 for k, e in enumerate(ends) if e][:-1] if w else []
+        for s in starts:
+            t = next((k + 1 for k in range(s + least_words - 1, len(w)) if ends[k]), None)
+            if t:
+                all_passages.append((tuple(x for x, _, _ in w[s:t]), i, s, t, w))
+    keep, out = {}, {i: [] for i in docs}
+    for p, i, s, t, w in all_passages:
+        if p in keep:
+            if out[i] and s <= out[i][-1][1]:
+                out[i][-1][1] = max(out[i][-1][1], t)
+                out[i][-1][3] = max(out[i][-1][3], w[t - 1][2])
+            else:
+                out[i].append([s, t, w[s][1], w[t - 1][2]])
+        else:
+            keep[p] = (i, s)
+    return {i: [(a, b) for _, _, a, b in x] for i, x in out.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, near_dedup, quality, token_counts, token_files
+from . import bpe, decontam, langid, near_dedup, quality, resharding, secret_scan, substring_dedup, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.base_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.cross_checked(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold="0.85")
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -30,6 +42,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -40,9 +56,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_resharding": op8_resharding,
     "op9_bpe": op9_bpe,
     "op10_decontamination": op10_decontamination,
 }

@@ -48,7 +48,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, at least n of each."""
     if len(_POWERS[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
@@ -84,7 +85,7 @@ class PrefixHash:
     """Hashes of any byte ranges of one buffer."""
 
     def __init__(self, data: np.ndarray):
-        powers, self.inverse = _powers(len(data) + 1)
+        powers, self.inverse = power_tables(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_VALUE[data] * powers[: len(data)], out=self.sums[1:])
 
