@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, byte_characters, parsed, read_vocabulary, special_tokens, token_bytes
-from .textvec import chunks
+from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, byte_characters, read_vocabulary, special_tokens, token_bytes
+from .textvec import chunks, held
+
+
+PAIRS = 1_000_000  # remembered at most
 
 
 class Merges:
@@ -47,14 +51,14 @@ class Merges:
             self.merged.setdefault((a, b), rank)
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (a, b), rank
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def apart(self, a: int, b: int) -> bool:
         """Whether a and b, side by side, are left as they are."""
-        key = (a, b)
+        key = a << 32 | b
         if (known := self._apart.get(key)) is not None:
             return known
-        if len(self._apart) > 2_000_000:
+        if len(self._apart) > PAIRS:
             self._apart.clear()
         known = self._apart[key] = self._stay(a, b)
         return known
@@ -133,8 +137,9 @@ class Codec:
     """Encoder and decoder of one vocabulary, with a cache of words; made once in each Python worker."""
 
     def __init__(self, vocabulary: str):
-        self.special = special_tokens(vocabulary)
-        self.merges = Merges(parsed(vocabulary))
+        parsed = json.loads(vocabulary)
+        self.special = special_tokens(parsed)
+        self.merges = Merges(parsed)
         self.cache = WordCache(self._encode)
         size = max(self.merges.bytes) + 1
         pieces = [self.merges.bytes.get(i, b"") for i in range(size)]
@@ -159,9 +164,8 @@ class Codec:
         return self.pieces[index].tobytes()
 
 
-@functools.lru_cache(1)
 def codec(vocabulary: str) -> Codec:
-    return Codec(vocabulary)
+    return held(("bpe", vocabulary), lambda: Codec(vocabulary))
 
 
 def _prepared(documents: DataFrame, doc_id: str, text: str, vocabulary: str):

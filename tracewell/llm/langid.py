@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .textvec import chunks, text_buffers
+from .textvec import chunks, held, text_buffers
 
 DIMENSIONS = 1024
 ALPHABET = 48  # a word border, a to z, and 21 classes of other letters
@@ -67,9 +67,8 @@ class GramVectors:
         return self.rows[self.row[grams]]
 
 
-@functools.cache
 def vectors() -> GramVectors:
-    return GramVectors()
+    return held(("trigrams",), GramVectors)
 
 
 def trigrams(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

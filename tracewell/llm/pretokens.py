@@ -10,7 +10,6 @@ and are put right afterwards.  Special tokens in a text are pieces of their own.
 from __future__ import annotations
 
 import functools
-import json
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
@@ -27,8 +26,8 @@ BYTE_BPE = "byte_bpe_50k.json"
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 #: Unicode's White_Space characters (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE_WORDS = 1_000_000
-CHUNK = 4 << 20
+CACHE_WORDS = 500_000
+CHUNK = 2 << 20
 
 
 def read_vocabulary(path: str) -> str:
@@ -149,21 +148,34 @@ class PreTokens:
 
 
 class WordCache:
-    """Integers computed for each distinct pre-token (its token ids, or their number), kept for a bounded number of words."""
+    """Integers computed for each distinct pre-token (its token ids, or their number), kept for a bounded number of words.
+
+    When it is full, words met in one chunk only are forgotten, and of the others the half met in most chunks stays.
+    """
 
     def __init__(self, compute: Callable[[list[str]], Iterable[list[int]]], most: int = CACHE_WORDS):
         self.compute, self.most = compute, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.values, self.offsets = array("I"), array("q", [0])
+        self.values, self.offsets, self.met = array("I"), array("q", [0]), array("I")
+
+    def _forget(self) -> None:
+        met, offsets, values = np.array(self.met), np.array(self.offsets), np.array(self.values)
+        kept = np.flatnonzero(met > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(kept[np.argsort(-met[kept].astype(np.int64), kind="stable")[: self.most // 2]])
+        sizes = offsets[kept + 1] - offsets[kept]
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        index = np.repeat(offsets[kept] - to[:-1], sizes) + np.arange(to[-1])
+        new = np.full(len(met), -1)
+        new[kept] = np.arange(len(kept))
+        self.slot = {key: k for key, old in self.slot.items() if (k := int(new[old])) >= 0}
+        self.values, self.offsets, self.met = array("I", values[index].tobytes()), array("q", to.tobytes()), array("I", met[kept].tobytes())
 
     def lookup(self, tokens: PreTokens) -> tuple[np.ndarray, np.ndarray]:
         """All values in order, and the offset of each pre-token's first (and the number of all last)."""
         codes, distinct = pd.factorize(tokens.hash)
-        if len(self.slot) + len(distinct) > self.most:
-            self._clear()
+        if len(self.slot) > self.most:
+            self._forget()
         keys, slot = distinct.tolist(), self.slot
         missing = [k for k, key in enumerate(keys) if key not in slot]
         if missing:
@@ -173,7 +185,10 @@ class WordCache:
                 slot[keys[k]] = len(self.offsets) - 1
                 self.values.extend(value)
                 self.offsets.append(len(self.values))
-        slots = np.fromiter((slot[key] for key in keys), np.int64, len(keys))[codes]
+                self.met.append(0)
+        own = np.fromiter((slot[key] for key in keys), np.int64, len(keys))
+        np.frombuffer(self.met, np.uint32)[own] += 1
+        slots = own[codes]
         starts = np.array(self.offsets)[slots]
         sizes = np.array(self.offsets)[slots + 1] - starts
         to = np.concatenate([[0], np.cumsum(sizes)])
@@ -181,10 +196,5 @@ class WordCache:
         return np.array(self.values)[index], to
 
 
-@functools.lru_cache(2)
-def parsed(vocabulary: str) -> dict:
-    return json.loads(vocabulary)
-
-
-def special_tokens(vocabulary: str) -> dict[str, int]:
-    return {t["content"]: t["id"] for t in parsed(vocabulary)["added_tokens"]}
+def special_tokens(vocabulary: dict) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in vocabulary["added_tokens"]}

@@ -12,7 +12,7 @@ Null texts are read as empty ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,18 @@ _alnum = (LOWER >= 97) & (LOWER <= 122) | (_bytes >= 48) & (_bytes <= 57) | (_by
 ALNUM_WORDS = np.where(_alnum, LOWER, 0).astype(np.uint8)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What make returns, kept in this Python worker until another operator keeps something: workers live on between operators, and their tables and caches would add up."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> U(30))

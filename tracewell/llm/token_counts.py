@@ -12,7 +12,7 @@ ignored.
 
 from __future__ import annotations
 
-import functools
+import json
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, parsed, read_vocabulary, token_bytes
-from .textvec import chunks
+from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, read_vocabulary, token_bytes
+from .textvec import chunks, held
 
 
 class LongestMatch:
@@ -68,10 +68,10 @@ class LongestMatch:
         return n
 
 
-@functools.lru_cache(1)
-def _counter(vocabulary: str) -> WordCache:
-    special = {t["id"] for t in parsed(vocabulary)["added_tokens"]}
-    match = LongestMatch(t for i, t in token_bytes(parsed(vocabulary)).items() if i not in special)
+def counter(vocabulary: str) -> WordCache:
+    parsed = json.loads(vocabulary)
+    special = {t["id"] for t in parsed["added_tokens"]}
+    match = LongestMatch(t for i, t in token_bytes(parsed).items() if i not in special)
     return WordCache(lambda words: [[match.count(w.encode())] for w in words])
 
 
@@ -81,11 +81,11 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))  # a file of some MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(shared.value)
+        known = held(("counts", shared.value), lambda: counter(shared.value))
         for batch in batches:
             for part in chunks(batch, most=CHUNK):
                 words = PreTokens(part.column("text"))
-                counts, _ = counter.lookup(words)
+                counts, _ = known.lookup(words)
                 total = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[words.first]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(words.first)), pa.array(np.diff(total))], names=["doc_id", "n_words", "n_tokens"])
 

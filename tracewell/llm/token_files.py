@@ -15,7 +15,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, read_vocabulary, special_tokens
 from .store import new_path
-from .textvec import chunks
+from .textvec import chunks, held
 
 OPTIONS = {
     "parquet.writer.version": "v2",
@@ -50,7 +50,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = list(special_tokens(vocabulary))
+        self.special = list(special_tokens(json.loads(vocabulary)))
         self.cache = WordCache(self._encode)
 
     def _encode(self, words: list[str]) -> list[list[int]]:
@@ -62,11 +62,6 @@ class LibraryEncoder:
         return values, to[tokens.first]
 
 
-@functools.lru_cache(1)
-def _encoder(vocabulary: str) -> LibraryEncoder:
-    return LibraryEncoder(vocabulary)
-
-
 def write_token_files(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = BYTE_BPE, end_id: int = 2, parts: int | None = None) -> None:
     """Encode the documents, each with end_id appended, into token files under path."""
     spark = documents.sparkSession
@@ -75,7 +70,7 @@ def write_token_files(documents: DataFrame, path: str, doc_id: str = "doc_id", t
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done, part_number = _encoder(shared.value), 0, TaskContext.get().partitionId()
+        encoder, done, part_number = held(("library", shared.value), lambda: LibraryEncoder(shared.value)), 0, TaskContext.get().partitionId()
         for batch in batches:
             for part in chunks(batch, most=CHUNK):
                 ids, to = encoder.encode(part.column("text"))
