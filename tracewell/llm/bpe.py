@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, byte_characters, read_vocabulary, special_tokens, token_bytes
-from .textvec import chunks, held
+from .textvec import chunks, held, map_texts
 
 
 PAIRS = 1_000_000  # remembered at most
@@ -185,7 +185,7 @@ def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
                 ids, to = own.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return map_texts(docs, run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = BYTE_BPE) -> DataFrame:
@@ -198,7 +198,7 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabul
             texts = [None if not x.is_valid else own.decode(np.asarray(x.values, np.int64)).decode("utf-8", "replace") for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text string")
+    return map_texts(rows, run, f"doc_id {kind}, text string")
 
 
 def round_trip(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = BYTE_BPE) -> DataFrame:
@@ -219,4 +219,4 @@ def round_trip(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import ALNUM_WORDS, Words, chunks, grams
+from .textvec import ALNUM_WORDS, Words, chunks, grams, map_texts
 
 BLOCK_BYTES = 32 << 20
 
@@ -181,7 +181,7 @@ def decontaminate(
                     columns = [pa.array(words.counts()), pa.array(n_hit), pa.array(spans, out_schema.field("runs").type), pa.array([sorted(x) for x in listed], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *columns], names=["doc_id", "text_hash", *out_schema.names])
 
-        parts.append(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, schema))
+        parts.append(map_texts(docs.withColumn("text_hash", F.xxhash64("text")), scan, schema))
     if len(parts) == 1:
         return parts[0].drop("text_hash")
     # Each block found its own runs: unite those of the documents that have any, and put them beside all documents.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .textvec import chunks, held, text_buffers
+from .textvec import chunks, held, map_texts, text_buffers
 
 DIMENSIONS = 1024
 ALPHABET = 48  # a word border, a to z, and 21 classes of other letters
@@ -120,7 +120,7 @@ def learn(documents: DataFrame, lang: str = "lang", text: str = "text") -> tuple
                     sums[name][grams] += counts
         yield from flush()
 
-    counted = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_texts(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def sum_up(group: pd.DataFrame) -> pd.DataFrame:  # at most GRAMS rows
         group = group.sort_values("gram")
@@ -153,7 +153,7 @@ def identify(documents: DataFrame, languages: list[str], profiles: np.ndarray, t
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(cosines, pa.float64())], names=[*part.schema.names, pred, score])
 
     schema = StructType([*documents.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
-    return documents.mapInArrow(run, schema)
+    return map_texts(documents, run, schema)
 
 
 def cross_checked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

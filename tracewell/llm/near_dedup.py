@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import drop, written
-from .textvec import GRAM_FACTOR, LOWER_WORDS, U, Words, chunks, grams, mix
+from .textvec import GRAM_FACTOR, LOWER_WORDS, U, Words, chunks, grams, map_texts, mix
 
 REGISTERS = 192
 MANTISSA_BITS = 10
@@ -139,7 +139,7 @@ def _sketches(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
+    return map_texts(docs, run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
 def _bodies(docs: DataFrame, ids: DataFrame, n: int, k: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _bodies(docs: DataFrame, ids: DataFrame, n: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "registers", "set"])
 
     chosen = docs.hint("merge").join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, f"id {kind}, registers binary, set binary")
+    return map_texts(chosen, run, f"id {kind}, registers binary, set binary")
 
 
 def new_links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: Fraction, k: int) -> list[tuple]:

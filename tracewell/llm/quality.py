@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import RAW_WORDS, U, PrefixHash, Words, chunks, grams, mix, runs
+from .textvec import RAW_WORDS, U, PrefixHash, Words, chunks, grams, map_texts, mix, runs
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 400
@@ -203,7 +203,7 @@ def quality_cascade(
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, pa.array(kept)], names=["doc_id", *report, "kept"])
 
     kinds = "".join(f", {name} {'double' if name.endswith('share') else 'long'}" for name in report)
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{kinds}, kept boolean")
+    return map_texts(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{kinds}, kept boolean")
 
 
 def base_digest(documents: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import drop, new_path, written
+from .textvec import map_texts
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -112,7 +113,7 @@ def plan_blocks(keyed: DataFrame, shards: int, capacities: list[int] | None = No
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(olds), part, np.int32)), pa.array(until)], names=[*batch.schema.names, "part", "until"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    ranked = written(light.mapInArrow(number, f"old int, neg_size long, doc_id {kind}, crc long, part int, until long"), "ranked")
+    ranked = written(map_texts(light, number, f"old int, neg_size long, doc_id {kind}, crc long, part int, until long"), "ranked")
     totals = ranked.groupBy("old", "part").agg(F.max("until").alias("n"))
     offsets = totals.select("old", "part", F.coalesce(F.sum("n").over(window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     old_sizes = {r["old"]: r["n"] for r in totals.groupBy("old").agg(F.sum("n").alias("n")).collect()}
@@ -168,7 +169,7 @@ def reshard(documents: DataFrame, path: str, old: Column, shards: int = 8, doc_i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(slots, pa.int64())], names=["doc_id", "text", "shard", "part", "part_slot"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    dealt.mapInArrow(number, f"doc_id {kind}, text string, shard int, part int, part_slot long").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    map_texts(dealt, number, f"doc_id {kind}, text string, shard int, part int, part_slot long").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return flow
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .textvec import LOWER_WORDS, U, Words, chunks, mix, power_tables
+from .textvec import LOWER_WORDS, U, Words, chunks, map_texts, mix, power_tables
 
 LEAST_WORDS = 14
 GAP = 16
@@ -100,7 +100,7 @@ def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "word", "words", "start", "end"])
 
-    units = written(docs.mapInArrow(run, f"doc_id {kind}, digest long, word int, words int, start int, end int"), "passages")
+    units = written(map_texts(docs, run, f"doc_id {kind}, digest long, word int, words int, start int, end int"), "passages")
     grouped = units.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max(F.struct("doc_id", "word")).alias("other")).where("keep <> other")
     repeated = written(grouped.select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.word").alias("keep_word")), "repeated")
     again = units.join(repeated, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("word") == F.col("keep_word"))))

@@ -12,11 +12,15 @@ Null texts are read as empty ones.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20  # work on about this much text at a time; one longer text is one chunk
@@ -42,15 +46,40 @@ ALNUM_WORDS = np.where(_alnum, LOWER, 0).astype(np.uint8)
 _held: dict = {}
 
 
+def release() -> None:
+    """Give memory that is free in this Python worker back to the machine: workers idle between tasks, and the executor's limit counts what they keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held(key: tuple, make: Callable[[], object]) -> object:
-    """What make returns, kept in this Python worker until another operator keeps something: workers live on between operators, and their tables and caches would add up."""
+    """What make returns, kept in this Python worker until another operator keeps something: tables and caches of several operators would add up."""
     if key not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        release()
         _held[key] = make()
     return _held[key]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which maps a partition's batches, with free memory released at the partition's end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def map_texts(frame: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow for rows with texts: where the session leaves the rows of a batch at the default of 10,000, batches have 1,000."""
+    conf = frame.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return frame.mapInArrow(tidy(run), schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> U(30))

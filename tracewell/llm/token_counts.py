@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, read_vocabulary, token_bytes
-from .textvec import chunks, held
+from .textvec import chunks, held, map_texts
 
 
 class LongestMatch:
@@ -89,4 +89,4 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 total = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[words.first]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(words.first)), pa.array(np.diff(total))], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
+    return map_texts(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, read_vocabulary, special_tokens
 from .store import new_path
-from .textvec import chunks, held
+from .textvec import chunks, held, map_texts
 
 OPTIONS = {
     "parquet.writer.version": "v2",
@@ -83,7 +83,7 @@ def write_token_files(documents: DataFrame, path: str, doc_id: str = "doc_id", t
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(run, f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
+    encoded = map_texts(ordered, run, f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
     encoded.write.options(**OPTIONS).parquet(path)
 
 
@@ -106,7 +106,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(np.asarray(ids.values).astype("<u4").tobytes()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return map_texts(tokens, run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def through_files(documents: DataFrame) -> DataFrame:
