@@ -1,0 +1 @@
+"""Build-log analytics on Spark."""
