@@ -186,7 +186,7 @@ class WordCache:
                 self.values.extend(value)
                 self.offsets.append(len(self.values))
                 self.met.append(0)
-        own = np.fromiter((slot[key] for key in keys), np.int64, len(keys))
+        own = np.fromiter(map(slot.__getitem__, keys), np.int64, len(keys))
         np.frombuffer(self.met, np.uint32)[own] += 1
         slots = own[codes]
         starts = np.array(self.offsets)[slots]
