@@ -156,7 +156,8 @@ def reshard(documents: DataFrame, path: str, old: Column, shards: int = 8, doc_i
     keyed = _keyed(documents, old, doc_id, text)
     flow, blocks = plan_blocks(keyed, shards)
     dealt = keyed.withColumn("shard", _shard(blocks, keyed.schema["doc_id"].dataType.simpleString()))
-    dealt = dealt.repartitionByRange(_parts(spark), "shard", "old", *KEY).sortWithinPartitions("shard", "old", *KEY)
+    # Not in order of size: ranges of as many rows each would then hold very unequal bytes.
+    dealt = dealt.repartitionByRange(_parts(spark), "shard", "crc", "doc_id").sortWithinPartitions("shard", "crc", "doc_id")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), {}
