@@ -280,3 +280,32 @@ def test_decontamination(spark, docs, rows, empty, block_bytes):
     assert got(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == expected((r[0], *x) for r, x in zip(rows, want, strict=True))
     assert decontam.digest(decontam.decontaminate(empty, bench)).count() == 0
     assert got(decontam.digest(decontam.decontaminate(docs, bench.where("false"))), "n_hit") == [(0,)] * len(rows)
+
+
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 60])
+def test_clean_judges_each_row_where_it_is(spark, docs, rows, empty, block_bytes):
+    """Null and repeated doc_ids with different texts; items that repeat each other; columns as they were."""
+    words = [f"w{k}" for k in range(30)]
+    texts = [(None, " ".join(words)), (None, "fine"), (7, "x " + " ".join(words[5:16])), (7, " ".join(words[:9])), (8, None), (9, "")]
+    frame = spark.createDataFrame([(i, t, True) for i, t in texts], "doc_id long, text string, n_hit boolean")
+    bench = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words).upper()), (3, "quite another item of words that are nowhere")], "item_id long, text string")
+    left = decontam.clean(frame, bench, block_bytes=block_bytes)
+    assert left.schema == frame.schema
+    assert got(left, "doc_id", "text") == expected([texts[1], texts[3], texts[4], texts[5]])
+    assert decontam.clean(empty, bench, block_bytes=block_bytes).count() == 0
+    assert decontam.clean(docs, bench, block_bytes=block_bytes).count() == len(rows)
+
+
+def test_frequent_fingerprints(spark, monkeypatch):
+    """A passage in very many items and places: joined fingerprints go in slices."""
+    monkeypatch.setattr(decontam, "MATCHES", 7)
+    same = " ".join("ha" for _ in range(14))
+    items = [(k, f"{same} z{k} and so on") for k in range(9)] + [(20, "ha"), (21, "HA"), (22, same)]
+    texts = [" ".join("ha" for _ in range(40)), f"a {same} z3 and so on", "no laughing", "ha"]
+    column = pa.array(texts)
+    found = decontam.Items([str(i) for i, _ in items], [t for _, t in items], 10, 5)
+    starts, ends, owner, item = found.hits(textvec.Words(column, textvec.ALNUM_WORDS))
+    want = brute.contamination(texts, items)
+    listed = [sorted(set().union(*(found.ids[i] for d, i in zip(owner, item, strict=True) if d == k))) for k in range(len(texts))]
+    assert [len(x) for x in listed] == [x[2] for x in want]
+    assert [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed] == [x[3] for x in want]

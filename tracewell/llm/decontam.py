@@ -24,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import written
 from .textvec import ALNUM_WORDS, Words, chunks, grams, map_texts
 
 BLOCK_BYTES = 32 << 20
+MATCHES = 1 << 20  # joined fingerprints are extended so many at a time
 
 
 def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -47,20 +50,26 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
 
 
 class Items:
-    """Fingerprints of one block of benchmark items, ready for lookups."""
+    """Fingerprints of one block of benchmark items, ready for lookups; items of the same words are one."""
 
     def __init__(self, ids: list, texts: list, window: int, k: int):
         words = Words(pa.array(texts, pa.large_string()), ALNUM_WORDS)
-        self.ids, self.window, self.k, self.w = ids, window, k, window - k + 1
+        self.window, self.k, self.w = window, k, window - k + 1
         self.words, self.first = words.hash, words.first
         counts = words.counts()
         prints, places, owners = [], [], []
-        short: dict[int, dict[int, list[int]]] = {}
+        short: dict[int, dict[int, int]] = {}
+        same: dict[bytes, int] = {}
+        self.ids: list[set] = [set() for _ in ids]  # the ids of each item that stands for those of its words
         for i in np.flatnonzero(counts):
             lo, hi = self.first[i], self.first[i + 1]
+            own = same.setdefault(self.words[lo:hi].tobytes(), int(i))
+            if ids[i] is not None:
+                self.ids[own].add(ids[i])
+            if own != i:
+                continue
             if counts[i] < window:
-                key = int(grams(self.words[lo:hi], int(counts[i]))[0])
-                short.setdefault(int(counts[i]), {}).setdefault(key, []).append(int(i))
+                short.setdefault(int(counts[i]), {})[int(grams(self.words[lo:hi], int(counts[i]))[0])] = own
                 continue
             g = grams(self.words[lo:hi], k)
             at = winnow(g, self.w)
@@ -74,25 +83,39 @@ class Items:
         self.to = np.append(self.from_[1:], len(prints))
         self.places = (np.concatenate(places) if places else none)[order]
         self.owners = (np.concatenate(owners) if owners else none)[order]
-        self.short = {n: (np.sort(np.array(list(d), np.uint64)), d) for n, d in short.items()}
+        self.short = {n: (np.array(sorted(d), np.uint64), np.array([d[g] for g in sorted(d)], np.int64)) for n, d in short.items()}
+
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct word runs [start, end) of the chunk that items cover, and distinct pairs of a document and an item that occurs in it."""
+        document, size, n = words.document(), len(words.hash) + 1, max(len(self.ids), 1)
+        runs, pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for starts, ends, item in self._found(words, document):
+            runs = np.union1d(runs, starts * size + ends)
+            pairs = np.union1d(pairs, document[starts] * n + item)
+        return runs // size, runs % size, pairs // n, pairs % n
 
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word runs [start, end) of the chunk that items cover, and the item of each."""
-        document = words.document()
-        found = [self._long(words, document)] if len(self.prints) else []
-        found += [self._short(words, document, n) for n in self.short]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    def _found(self, words: Words, document: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        if len(self.prints):
+            yield from self._long(words, document)
+        for n in self.short:
+            yield self._short(words, document, n)
 
-    def _long(self, words: Words, document: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _long(self, words: Words, document: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         g = grams(words.hash, self.k)
         at = winnow(g, self.w)
         slot = np.minimum(np.searchsorted(self.prints, g[at]), len(self.prints) - 1)
         same = (self.prints[slot] == g[at]) & (document[at] == document[at + self.k - 1])
         at, slot = at[same], slot[same]
         many = self.to[slot] - self.from_[slot]
-        p = np.repeat(at, many)
-        entry = np.repeat(self.from_[slot], many) + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
-        q, item = self.places[entry], self.owners[entry]
+        before, total = np.cumsum(many) - many, int(many.sum())
+        for lo in range(0, total, MATCHES):  # a fingerprint may stand in very many items and places
+            number = np.arange(lo, min(lo + MATCHES, total))
+            j = np.searchsorted(before, number, "right") - 1
+            entry = self.from_[slot[j]] + number - before[j]
+            yield self._extended(words, document, at[j], self.places[entry], self.owners[entry])
+
+    def _extended(self, words: Words, document: np.ndarray, p: np.ndarray, q: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Grams at p of the chunk and q of the items, extended word by word; runs of a window and more, with their items."""
         reach = []
         for step, d, limit_p, limit_q in (
             (-1, -1, words.first[document[p]], self.first[item]),
@@ -116,9 +139,7 @@ class Items:
         slot = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
         at = np.flatnonzero(keys[slot] == g)
         at = at[document[at] == document[at + n - 1]]
-        pairs = [(int(p), i) for p in at for i in owners[int(g[p])]]
-        p = np.array([x for x, _ in pairs], np.int64)
-        return p, p + n, np.array([i for _, i in pairs], np.int64)
+        return at, at + n, owners[slot[at]]
 
 
 def _covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -129,12 +150,17 @@ def _covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, text: str, item_id: str, block_bytes: int) -> list[DataFrame]:
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).distinct()
     size = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-size // block_bytes) or 1
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
 
 
+def _shared(spark: SparkSession, block: DataFrame, window: int, k: int) -> Broadcast[Items]:
+    rows = block.collect()  # at most block_bytes of text, as checked in _blocks
+    return spark.sparkContext.broadcast(Items([r["item"] for r in rows], [r["text"] for r in rows], window, k))
+
+
 def decontaminate(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -153,22 +179,20 @@ def decontaminate(
     out_schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     parts = []
     for block in _blocks(benchmark, item_text, item_id, block_bytes):
-        rows = block.collect()  # at most block_bytes of text, as checked in _blocks
-        shared = spark.sparkContext.broadcast(Items([r["item"] for r in rows], [r["text"] for r in rows], window, k))
+        shared = _shared(spark, block, window, k)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
                 for part in chunks(batch):
                     words = Words(part.column("text"), ALNUM_WORDS)
-                    starts, ends, item = items.hits(words)
+                    starts, ends, owner, item = items.hits(words)
                     covered = _covered(starts, ends, len(words.hash))
                     total = np.concatenate([[0], np.cumsum(covered)])
                     n_hit = total[words.first[1:]] - total[words.first[:-1]]
                     listed: list[set] = [set() for _ in range(part.num_rows)]
-                    for d, i in zip(words.document()[starts], item, strict=True):
-                        if items.ids[i] is not None:
-                            listed[d].add(items.ids[i])
+                    for d, i in zip(owner, item, strict=True):
+                        listed[d] |= items.ids[i]
                     first, end = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0) == 1), np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0) == -1)
                     spans: list[list] = [[] for _ in range(part.num_rows)]
                     for a, b in zip(first, end, strict=True):  # a run of covered words may cross from one document into the next
@@ -210,6 +234,38 @@ def decontaminate(
     )
 
 
+def clean(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    k: int = 5,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents, rows and columns as they are, without those in which a window of an item occurs.
+
+    Rows are judged where they are, so a null or repeated doc_id is no special case and nothing is shuffled;
+    between blocks of a large benchmark what is left is written.
+    """
+    blocks = _blocks(benchmark, item_text, item_id, block_bytes)
+    for number, block in enumerate(blocks):
+        shared = _shared(documents.sparkSession, block, window, k)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, text):
+                    words = Words(part.column(text), ALNUM_WORDS)
+                    hit = np.zeros(part.num_rows, bool)
+                    hit[shared.value.hits(words)[2]] = True
+                    yield part.filter(pa.array(~hit))
+
+        left = map_texts(documents, run, documents.schema)
+        documents = left if number == len(blocks) - 1 else written(left, "clean")
+    return documents
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query: counts, the sorted ids' sha256, and whether any word is hit."""
     return found.select(
