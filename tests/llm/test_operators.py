@@ -309,3 +309,11 @@ def test_frequent_fingerprints(spark, monkeypatch):
     listed = [sorted(set().union(*(found.ids[i] for d, i in zip(owner, item, strict=True) if d == k))) for k in range(len(texts))]
     assert [len(x) for x in listed] == [x[2] for x in want]
     assert [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed] == [x[3] for x in want]
+
+
+def test_secrets_of_a_text_with_many_matches(spark):
+    """More matches than are placed in one run, of kinds that are kept and dropped."""
+    text = " é ".join(f"token = a{k} {'0123456789abcdef' * 2} password: hunter{k} AKIA{'B2' * 8}" for k in range(900))
+    found = secret_scan.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert found["base_sha256"] == hashlib.sha256(brute.joined(brute.secrets(text)).encode()).hexdigest()
+    assert (found["n_assign"], found["n_access"], found["n_hex"]) == (900, 900, 900)

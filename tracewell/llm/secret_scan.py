@@ -40,6 +40,7 @@ LETTERS = {"hex": 16, "base32": 32, "base64": 64}  # + and - share a value, as d
 SHORTEST = {"hex": 32, "base32": 24, "base64": 20}  # the battery has power from here on
 BINS = 400  # of ten a halving of p
 Q = 0.01
+WALK = 256
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -55,7 +56,18 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("found"))
         return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def moved(x: Column, by: Column) -> Column:
+        return F.struct((x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"), x["found"].alias("found"))
+
+    # An array grows by copying, so matches are placed within runs of WALK first and the runs then put after each other.
+    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    runs = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / WALK).cast("int")), lambda c: F.aggregate(F.slice(all_, c * WALK + 1, WALK), start, step))
+    walked = F.aggregate(
+        F.element_at(F.transform(F.array(zipped), runs), 1),
+        start,
+        lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.transform(x["out"], lambda y: moved(y, acc["at"]))).alias("out")),
+        lambda acc: acc["out"],
+    )
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
