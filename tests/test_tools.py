@@ -76,6 +76,7 @@ def test_properties_and_items(tools):
     assert tools("properties", name="name", limit=1) == "Project: app.csproj\n  Name = one\n  ... (truncated at 1)\n\n"
     assert tools("properties", name="zzz") == "Project: app.csproj\n\n"
     assert tools("items", item_type="compile", spec="B.") == "Project: app.csproj\n  [Compile (2 items)]\n    b.cs\n\n"
+    assert tools("items", item_type="compile", limit=1) == "Project: app.csproj\n  [Compile (2 items)]\n    a.cs\n      k = v\n    ... (truncated at 1)\n\n"
     assert tools("items", item_type="zzz") == "No items found matching the filter."
 
 
@@ -96,6 +97,9 @@ def test_rpc(spark, folder):
     assert answer(sessions, "{")["error"]["code"] == -32700
     assert ask(method="ping") is None and ask(method="zzz", id=1)["error"]["code"] == -32601 and ask(method="tools/call", id=1)["error"]["code"] == -32602
     assert ask(method="tools/call", id=2, params={"name": "binlog_summary", "arguments": {"session": 9}})["result"]["isError"]
+    listed = ask(method="tools/list", id=4)["result"]["tools"]
+    assert [t["name"] for t in listed] == [n[1:] for n in vars(Sessions) if n.startswith("_binlog_")]
+    assert {t["name"]: t["inputSchema"]["required"] for t in listed}["binlog_event_detail"] == ["session", "index"]
     opened = ask(method="tools/call", id=3, params={"name": "binlog_open", "arguments": {"file": str(folder)}})
     assert "Total events: 10" in opened["result"]["content"][0]["text"]
     assert sessions.call("binlog_close", {"session": 1}) == "Session 1 closed."

@@ -20,13 +20,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def folded(text: str) -> str:
+    return "".join(x.lower() if x in string.ascii_uppercase else x for x in text)
+
+
 def contains_folded(c: Column, needle: str) -> Column:
     """Whether c has the needle, letters A to Z in either case; an empty needle is everywhere."""
-    return F.contains(ascii_lower(c), F.lit("".join(x.lower() if x in string.ascii_uppercase else x for x in needle)))
+    return F.contains(ascii_lower(c), F.lit(folded(needle)))
 
 
 def equals_folded(c: Column, text: str) -> Column:
-    return ascii_lower(c) == F.lit("".join(x.lower() if x in string.ascii_uppercase else x for x in text))
+    return ascii_lower(c) == F.lit(folded(text))
 
 
 def byte_truncated(c: Column, most: int = PREVIEW_BYTES) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import KIND_BY_NAME, contains_folded, equals_folded, listed_message, status
+from ..functions.text import KIND_BY_NAME, contains_folded, equals_folded, folded, listed_message, status
 
 UNKNOWN, UNNAMED = "<unknown>", "<unnamed>"
 
@@ -21,7 +21,7 @@ def of_kind(events: DataFrame, *kinds: int) -> DataFrame:
 def query(events: DataFrame, kind: int | str | None = None, project_context_id: int | None = None, target_id: int | None = None, task_id: int | None = None) -> DataFrame:
     """Events that meet all given conditions. A kind name that isn't known sets no condition."""
     if isinstance(kind, str):
-        kind = KIND_BY_NAME.get(kind.lower())
+        kind = KIND_BY_NAME.get(folded(kind))
     for column, value in (("kind", kind), ("project_context_id", project_context_id), ("target_id", target_id), ("task_id", task_id)):
         if value is not None:
             if not -(2**31) <= value < 2**31:

@@ -143,6 +143,9 @@ query("properties", B + "select 'b' || n.log_no as log_id, event_index, key, val
 query("properties_limit", B + "select 'b' || n.log_no as log_id, event_index, 'Name' as key, c_name as value, true as truncated from n join c on n.cust = c_custkey where kind = 3")(
     lambda s, d: ops.properties(_b(s, d), name="name", limit=1).select("log_id", "event_index", "key", "value", "truncated")
 )
+query("properties_dup_keys", B + "select 'b' || n.log_no as log_id, event_index, 'Name' as key, cast(2 as bigint) as n from n where kind = 3")(
+    lambda s, d: ops.properties(_b(s, d)).groupBy("log_id", "event_index", "key").agg(F.count("*").alias("n")).where("n > 1")
+)
 query("items", B + "select 'b' || n.log_no as log_id, event_index, 'Compile' as item_type, 'o' || o_orderkey || '.cs' as spec, o_orderpriority as priority from n join o on n.cust = o.c_custkey where kind = 3")(
     lambda s, d: ops.items(_b(s, d)).select("log_id", "event_index", "item_type", "spec", F.col("metadata")[0]["value"].alias("priority"))
 )
@@ -150,7 +153,7 @@ query("items_limit", B + "select 'b' || n.log_no as log_id, event_index, 'o' ||
     lambda s, d: ops.items(_b(s, d), item_type="compile", limit=2).select("log_id", "event_index", "spec", F.col("group_size").cast("long").alias("group_size"))
 )
 query("item_group_counts", B + "select 'b' || n.log_no as log_id, event_index, 4 as properties, 2 as groups, cast(count(o_orderkey) as integer) as items from n left join o on n.cust = o.c_custkey where kind = 3 group by n.log_no, event_index")(lambda s, d: ops.item_counts(_b(s, d)))
-query("error_context", A + """
+_CONTEXT = """
 , s as (
     select log_id, event_index, 'log' as key from a
     union all select log_id, event_index, 'project:' || project_context_id from a where has_context
@@ -158,11 +161,13 @@ query("error_context", A + """
     union all select log_id, event_index, 'task:' || project_context_id || ':' || target_id || ':' || task_id from a where has_context
 ),
 p as (select *, row_number() over (partition by log_id, key order by event_index) as place, count(*) over (partition by log_id, key) as size from s),
-e as (select a.*, t.size as task_size from a left join p t on t.log_id = a.log_id and t.event_index = a.event_index and t.key like 'task:%' where kind = 9 and a.event_index % 25 = 0),
+e as (select a.*, t.size as task_size from a left join p t on t.log_id = a.log_id and t.event_index = a.event_index and t.key like 'task:%' where kind = 9 and a.event_index % {every} = 0),
 k as (select log_id, event_index as centre, case when not has_context then 'log' when task_id <> 0 and task_size > 1 then 'task' when target_id <> 0 then 'target' when task_id <> 0 or project_context_id <> 0 then 'project' else 'log' end as scope from e)
 select k.log_id, k.centre, k.scope, n.event_index from k join p m on m.log_id = k.log_id and m.event_index = k.centre and split_part(m.key, ':', 1) = k.scope
-join p n on n.log_id = k.log_id and n.key = m.key and n.place between m.place - 3 and m.place + 3
-""")(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9).where("event_index % 25 = 0"), 3))
+join p n on n.log_id = k.log_id and n.key = m.key and n.place between m.place - {radius} and m.place + {radius}
+"""
+query("error_context", A + _CONTEXT.format(every=25, radius=3))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9).where("event_index % 25 = 0"), 3))
+query("error_context_all", A + _CONTEXT.format(every=1, radius=2))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9), 2))
 query("string_table", A + "select distinct log_id, value from (select log_id, message as value from a union all select log_id, code from a where kind in (9, 10) union all select log_id, file from a where kind in (9, 10) union all select log_id, project_file from a where kind in (9, 10))")(
     lambda s, d: corpus(s, d, "a", "strings").select("log_id", "value")
 )

@@ -10,7 +10,7 @@ from typing import TextIO
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NAMED_KINDS, diagnostic_line, preview, kind_name
+from ..functions.text import NAMED_KINDS, diagnostic_line, folded, kind_name, preview
 from ..operators import events as ops
 from ..sources.ingest import read_logs
 
@@ -198,12 +198,13 @@ class Sessions:
             return "No projects found."
         rows = ops.projects(events, project).where(F.size("body.item_list") > 0).orderBy("event_index").select("event_index", "project", "body.item_list").collect()
         out = ""
-        matching = ops.items(events, project, kind, spec).orderBy("event_index", "group_pos", "pos").collect()
+        # One item more than is shown tells that more match.
+        matching = ops.items(events, project, kind, spec, None if limit is None or limit < 0 else limit + 1).orderBy("event_index", "group_pos", "pos").collect()
         by_group: dict = {}
         for r in matching:
             by_group.setdefault((r["event_index"], r["group_pos"]), []).append(r)
         for p in rows:
-            groups = [(k, g) for k, g in enumerate(p["item_list"]) if kind is None or g["item_type"].lower() == kind.lower()]
+            groups = [(k, g) for k, g in enumerate(p["item_list"]) if kind is None or folded(g["item_type"]) == folded(kind)]
             if not groups:
                 continue
             out += f"Project: {p['project']}\n"
@@ -260,7 +261,34 @@ class Sessions:
         return f"Feedback written to {os.fspath(file)}"
 
 
-TOOLS = [n[1:] for n in vars(Sessions) if n.startswith("_binlog_")]
+#: What each tool does and its arguments: JSON type and meaning; a trailing * marks those that must be given.
+TOOLS: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
+    "open": ("Open a build log and get a session for the other tools, with counts of events, errors and warnings.", {"file*": ("string", "path of the log")}),
+    "close": ("End a session and free what it holds.", {}),
+    "summary": ("Outcome, counts, duration and projects of the build.", {}),
+    "errors": ("Errors with code, place, message and project.", {"limit": ("integer", "most errors to list; all if absent")}),
+    "warnings": ("Warnings with code, place, message and project.", {"code": ("string", "only this code, in either case"), "project": ("string", "only project files with this text in their path"), "limit": ("integer", "most warnings to list")}),
+    "project_tree": ("Projects with their targets and tasks.", {}),
+    "events": ("Events that meet all conditions, a line for each.", {"kind": ("string", "name of the kind"), "project_context_id": ("integer", "project context"), "target_id": ("integer", "target"), "task_id": ("integer", "task"), "text": ("string", "only messages with this text, in either case"), "limit": ("integer", "most events to list")}),
+    "event_detail": ("All fields of one event.", {"index*": ("integer", "index of the event")}),
+    "properties": ("Properties of started projects.", {"project": ("string", "text in the project's path"), "name": ("string", "text in the property's name"), "limit": ("integer", "most properties for each project")}),
+    "items": ("Items of started projects with their metadata.", {"project": ("string", "text in the project's path"), "item_type": ("string", "type of the group"), "spec": ("string", "text in the item"), "limit": ("integer", "most items for each group")}),
+    "error_context": ("Events around one event in its task, target, project or log.", {"index*": ("integer", "index of the event"), "radius": ("integer", "events on each side; 10 if absent")}),
+    "task_timeline": ("Targets and tasks in order, with their outcome.", {"project_context_id": ("integer", "only this project context"), "project": ("string", "text in the project's path; not used beside a context")}),
+    "feedback": ("Append a note on the build to a file, as a line of JSON.", {"file*": ("string", "path of the notes"), "text*": ("string", "the note"), "root_cause": ("string", "cause of the failure"), "event_indices": ("array", "events that the note is about")}),
+}
+
+
+def descriptors() -> list[dict]:
+    """The tools as a client needs them: names, descriptions and JSON schemas of the arguments."""
+    out = []
+    for name, (does, own) in TOOLS.items():
+        args = own if name == "open" else {"session*": ("integer", "session from binlog_open"), **own}
+        properties = {a.rstrip("*"): {"type": kind, "description": means, **({"items": {"type": "integer"}} if kind == "array" else {})} for a, (kind, means) in args.items()}
+        schema = {"type": "object", "properties": properties, "required": [a.rstrip("*") for a in args if a.endswith("*")]}
+        hints = {"readOnlyHint": name not in ("close", "feedback"), "destructiveHint": False}
+        out.append({"name": f"binlog_{name}", "description": does, "inputSchema": schema, "annotations": hints})
+    return out
 
 
 def answer(sessions: Sessions, line: str) -> dict | None:
@@ -278,7 +306,7 @@ def answer(sessions: Sessions, line: str) -> dict | None:
     if method == "initialize":
         return done({"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "tracewell", "version": "0.1.0"}})
     if method == "tools/list":
-        return done({"tools": [{"name": n} for n in TOOLS]})
+        return done({"tools": descriptors()})
     if method in ("ping", "shutdown"):
         return done({} if method == "ping" else None)
     if method != "tools/call":
