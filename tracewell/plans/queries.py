@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators import events as ops
-from .corpus import corpus
+from .corpus import ALL_LOGS, corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,8 +56,18 @@ def _a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir, "a")
 
 
-def _b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir, "b")
+#: Which customers are in corpus b, and in which log; and the same of the corpus of all customers.
+TENTH, EVERY = "cast(c_custkey // 10 % 4 as integer) as log_no from customer where c_custkey % 10 = 0", f"cast(c_custkey % {ALL_LOGS} as integer) as log_no from customer"
+
+
+def query_b(name: str, oracle: str, table: str = "events") -> Callable[[Callable[[DataFrame], DataFrame]], None]:
+    """A query of a table of corpus b (every tenth customer), and with _all after its name the same over the corpus of all customers."""
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> None:
+        query(name, oracle)(lambda s, d: f(corpus(s, d, "b", table)))
+        query(f"{name}_all", oracle.replace(TENTH, EVERY))(lambda s, d: f(corpus(s, d, "b_all", table)))
+
+    return add
 
 
 def _brief(rows: DataFrame) -> DataFrame:
@@ -66,12 +76,12 @@ def _brief(rows: DataFrame) -> DataFrame:
 
 _BRIEF = "select log_id, event_index, kind, project_context_id, target_id, task_id from a"
 
-query("task_timeline", B + """
+query_b("task_timeline", B + """
 select 'b' || p.log_no as log_id, p.event_index as project_index, 'p' || (c.c_custkey % 40) || '.csproj' as project, case when o_orderkey is not null then 'T' || o_orderkey end as target,
     case when o_orderkey is null then null when o_orderstatus = 'P' then '?' when o_orderstatus <> 'F' then 'ok' else 'FAILED' end as target_status, case when l.task is not null then 'L' || l_partkey end as task,
     case when l.task is null then null when l_linestatus = 'O' and l_returnflag = 'A' then '?' when l_returnflag <> 'R' then 'ok' else 'FAILED' end as task_status, t.event_index as task_index
 from c join n p on p.kind = 3 and p.cust = c.c_custkey left join o on o.c_custkey = c.c_custkey left join l on l.l_orderkey = o_orderkey left join n t on t.kind = 7 and t.ord = l.l_orderkey and t.task = l.task
-""")(lambda s, d: ops.task_timeline(_b(s, d)).select("log_id", "project_index", "project", "target", "target_status", "task", "task_status", "task_index"))
+""")(lambda e: ops.task_timeline(e).select("log_id", "project_index", "project", "target", "target_status", "task", "task_status", "task_index"))
 query("scan_events_meta", A + "select log_id, event_index, kind, has_context, project_context_id, target_id, task_id from a")(lambda s, d: ops.meta(_a(s, d)).drop("byte_offset", "payload_len"))
 query("scan_messages", A + "select log_id, event_index, message, timestamp_ticks from a")(lambda s, d: _a(s, d).select("log_id", "event_index", "message", "timestamp_ticks"))
 query("scan_diagnostics", A + "select log_id, event_index, kind, code, file, project_file, line, col from a where kind in (9, 10)")(
@@ -108,27 +118,27 @@ with m as (select 'c-' || source as log_id, row_number() over (partition by sour
 select log_id, event_index, case when octet_length(b) <= 120 then text else coalesce(try(decode(b[1:120])), try(decode(b[1:119])), try(decode(b[1:118])), try(decode(b[1:117]))) end as line from m
 """)(lambda s, d: corpus(s, d, "c").select("log_id", "event_index", x.preview().alias("line")))
 query("archive_files", "select 'c-' || source as log_id, source || '/' || doc_id || '.txt' as path, text as contents from documents")(lambda s, d: corpus(s, d, "c", "archive_files").select("log_id", "path", "contents"))
-query("summary", B + """
+query_b("summary", B + """
 , t as (select log_no, (epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000 as duration_ms from o group by log_no)
 select 'b' || log_no as log_id, 'FAILED' as result, count(*) as total_events, cast(0 as bigint) as errors, cast(0 as bigint) as warnings, any_value(duration_ms) as duration_ms from n join t using (log_no) group by log_no
-""")(lambda s, d: ops.summary(_b(s, d)))
-query("duration", "with c as (select *, cast(c_custkey // 10 % 4 as integer) as log_no from customer where c_custkey % 10 = 0) select 'b' || log_no as log_id, ((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000000) || '.' || lpad(((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000 % 1000)::varchar, 3, '0') as duration from orders join c on o_custkey = c_custkey group by log_no")(
-    lambda s, d: _b(s, d).where("kind in (1, 2)").groupBy("log_id").agg((F.max("timestamp_ticks") - F.min("timestamp_ticks")).alias("ticks")).select("log_id", x.seconds(F.col("ticks")).alias("duration"))
+""")(lambda e: ops.summary(e))
+query_b("duration", "with c as (select *, cast(c_custkey // 10 % 4 as integer) as log_no from customer where c_custkey % 10 = 0) select 'b' || log_no as log_id, ((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000000) || '.' || lpad(((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000 % 1000)::varchar, 3, '0') as duration from orders join c on o_custkey = c_custkey group by log_no")(
+    lambda e: e.where("kind in (1, 2)").groupBy("log_id").agg((F.max("timestamp_ticks") - F.min("timestamp_ticks")).alias("ticks")).select("log_id", x.seconds(F.col("ticks")).alias("duration"))
 )
-query("distinct_projects", B + "select 'b' || n.log_no as log_id, 'p' || (cust % 40) || '.csproj' as project_file, min(event_index) as first_index from n where kind = 3 group by n.log_no, cust % 40")(lambda s, d: ops.distinct_projects(_b(s, d)))
-query("project_tree", B + """
+query_b("distinct_projects", B + "select 'b' || n.log_no as log_id, 'p' || (cust % 40) || '.csproj' as project_file, min(event_index) as first_index from n where kind = 3 group by n.log_no, cust % 40")(lambda e: ops.distinct_projects(e))
+query_b("project_tree", B + """
 select 'b' || p.log_no as log_id, p.event_index as project_index, 'p' || (c.c_custkey % 40) || '.csproj' as project, case when c_nationkey % 2 = 1 then 'Build' end as requested,
     g.event_index as target_index, case when o_orderkey is not null then 'T' || o_orderkey end as target, t.event_index as task_index, case when l.task is not null then 'L' || l_partkey end as task
 from c join n p on p.kind = 3 and p.cust = c.c_custkey left join o on o.c_custkey = c.c_custkey left join n g on g.kind = 5 and g.ord = o_orderkey
 left join l on l.l_orderkey = o_orderkey left join n t on t.kind = 7 and t.ord = l.l_orderkey and t.task = l.task
-""")(lambda s, d: ops.project_tree(_b(s, d)).select("log_id", "project_index", "project", "requested", "target_index", "target", "task_index", "task"))
-query("tasks_per_target", B + "select 'b' || o.log_no as log_id, 'T' || o_orderkey as target, count(l.task) as tasks from o left join l on l_orderkey = o_orderkey group by o.log_no, o_orderkey")(
-    lambda s, d: ops.project_tree(_b(s, d)).where("target is not null").groupBy("log_id", "target", "target_index").agg(F.count("task_index").alias("tasks")).drop("target_index")
+""")(lambda e: ops.project_tree(e).select("log_id", "project_index", "project", "requested", "target_index", "target", "task_index", "task"))
+query_b("tasks_per_target", B + "select 'b' || o.log_no as log_id, 'T' || o_orderkey as target, count(l.task) as tasks from o left join l on l_orderkey = o_orderkey group by o.log_no, o_orderkey")(
+    lambda e: ops.project_tree(e).where("target is not null").groupBy("log_id", "target", "target_index").agg(F.count("task_index").alias("tasks")).drop("target_index")
 )
-query("timeline_by_context", B + """
+query_b("timeline_by_context", B + """
 select 'b' || o.log_no as log_id, 'p' || (o.c_custkey % 40) || '.csproj' as project, 'T' || o_orderkey as target, case when o_orderstatus = 'P' then '?' when o_orderstatus <> 'F' then 'ok' else 'FAILED' end as target_status, count(l.task) as tasks
 from o left join l on l_orderkey = o_orderkey where o.c_custkey in (select min(c_custkey) from o) group by all
-""")(lambda s, d: _timeline_of_first(_b(s, d)))
+""")(lambda e: _timeline_of_first(e))
 
 
 def _timeline_of_first(events: DataFrame) -> DataFrame:
@@ -137,22 +147,22 @@ def _timeline_of_first(events: DataFrame) -> DataFrame:
     return rows.groupBy("log_id", "project", "target", "target_status").agg(F.count("task").alias("tasks"))
 
 
-query("properties", B + "select 'b' || n.log_no as log_id, event_index, key, value from n join c on n.cust = c_custkey, (values (0, 'Name'), (1, 'Segment'), (2, 'NationKey'), (3, 'Name')) k(pos, key), lateral (select case pos when 0 then c_name when 2 then c_nationkey::varchar else c_mktsegment end as value) where kind = 3")(
-    lambda s, d: ops.properties(_b(s, d)).select("log_id", "event_index", "key", "value")
+query_b("properties", B + "select 'b' || n.log_no as log_id, event_index, key, value from n join c on n.cust = c_custkey, (values (0, 'Name'), (1, 'Segment'), (2, 'NationKey'), (3, 'Name')) k(pos, key), lateral (select case pos when 0 then c_name when 2 then c_nationkey::varchar else c_mktsegment end as value) where kind = 3")(
+    lambda e: ops.properties(e).select("log_id", "event_index", "key", "value")
 )
-query("properties_limit", B + "select 'b' || n.log_no as log_id, event_index, 'Name' as key, c_name as value, true as truncated from n join c on n.cust = c_custkey where kind = 3")(
-    lambda s, d: ops.properties(_b(s, d), name="name", limit=1).select("log_id", "event_index", "key", "value", "truncated")
+query_b("properties_limit", B + "select 'b' || n.log_no as log_id, event_index, 'Name' as key, c_name as value, true as truncated from n join c on n.cust = c_custkey where kind = 3")(
+    lambda e: ops.properties(e, name="name", limit=1).select("log_id", "event_index", "key", "value", "truncated")
 )
-query("properties_dup_keys", B + "select 'b' || n.log_no as log_id, event_index, 'Name' as key, cast(2 as bigint) as n from n where kind = 3")(
-    lambda s, d: ops.properties(_b(s, d)).groupBy("log_id", "event_index", "key").agg(F.count("*").alias("n")).where("n > 1")
+query_b("properties_dup_keys", B + "select 'b' || n.log_no as log_id, event_index, 'Name' as key, cast(2 as bigint) as n from n where kind = 3")(
+    lambda e: ops.properties(e).groupBy("log_id", "event_index", "key").agg(F.count("*").alias("n")).where("n > 1")
 )
-query("items", B + "select 'b' || n.log_no as log_id, event_index, 'Compile' as item_type, 'o' || o_orderkey || '.cs' as spec, o_orderpriority as priority from n join o on n.cust = o.c_custkey where kind = 3")(
-    lambda s, d: ops.items(_b(s, d)).select("log_id", "event_index", "item_type", "spec", F.col("metadata")[0]["value"].alias("priority"))
+query_b("items", B + "select 'b' || n.log_no as log_id, event_index, 'Compile' as item_type, 'o' || o_orderkey || '.cs' as spec, o_orderpriority as priority from n join o on n.cust = o.c_custkey where kind = 3")(
+    lambda e: ops.items(e).select("log_id", "event_index", "item_type", "spec", F.col("metadata")[0]["value"].alias("priority"))
 )
-query("items_limit", B + "select 'b' || n.log_no as log_id, event_index, 'o' || o_orderkey || '.cs' as spec, count(*) over (partition by n.log_no, event_index) as group_size from n join o on n.cust = o.c_custkey where kind = 3 qualify row_number() over (partition by n.log_no, event_index order by o_orderkey) <= 2")(
-    lambda s, d: ops.items(_b(s, d), item_type="compile", limit=2).select("log_id", "event_index", "spec", F.col("group_size").cast("long").alias("group_size"))
+query_b("items_limit", B + "select 'b' || n.log_no as log_id, event_index, 'o' || o_orderkey || '.cs' as spec, count(*) over (partition by n.log_no, event_index) as group_size from n join o on n.cust = o.c_custkey where kind = 3 qualify row_number() over (partition by n.log_no, event_index order by o_orderkey) <= 2")(
+    lambda e: ops.items(e, item_type="compile", limit=2).select("log_id", "event_index", "spec", F.col("group_size").cast("long").alias("group_size"))
 )
-query("item_group_counts", B + "select 'b' || n.log_no as log_id, event_index, 4 as properties, 2 as groups, cast(count(o_orderkey) as integer) as items from n left join o on n.cust = o.c_custkey where kind = 3 group by n.log_no, event_index")(lambda s, d: ops.item_counts(_b(s, d)))
+query_b("item_group_counts", B + "select 'b' || n.log_no as log_id, event_index, 4 as properties, 2 as groups, cast(count(o_orderkey) as integer) as items from n left join o on n.cust = o.c_custkey where kind = 3 group by n.log_no, event_index")(lambda e: ops.item_counts(e))
 _CONTEXT = """
 , s as (
     select log_id, event_index, 'log' as key from a
@@ -171,7 +181,7 @@ query("error_context_all", A + _CONTEXT.format(every=1, radius=2))(lambda s, d:
 query("string_table", A + "select distinct log_id, value from (select log_id, message as value from a union all select log_id, code from a where kind in (9, 10) union all select log_id, file from a where kind in (9, 10) union all select log_id, project_file from a where kind in (9, 10))")(
     lambda s, d: corpus(s, d, "a", "strings").select("log_id", "value")
 )
-query("name_values", B + "select distinct 'b' || log_no as log_id, key, value from (select log_no, 'Priority' as key, o_orderpriority as value from o union all select log_no, 'Status', o_orderstatus from o union all select log_no, 'Name', c_name from c union all select log_no, 'Segment', c_mktsegment from c union all select log_no, 'NationKey', c_nationkey::varchar from c union all select log_no, 'Name', c_mktsegment from c)")(
-    lambda s, d: corpus(s, d, "b", "name_values").select("log_id", "key", "value").distinct()
+query_b("name_values", B + "select distinct 'b' || log_no as log_id, key, value from (select log_no, 'Priority' as key, o_orderpriority as value from o union all select log_no, 'Status', o_orderstatus from o union all select log_no, 'Name', c_name from c union all select log_no, 'Segment', c_mktsegment from c union all select log_no, 'NationKey', c_nationkey::varchar from c union all select log_no, 'Name', c_mktsegment from c)", "name_values")(
+    lambda e: e.select("log_id", "key", "value").distinct()
 )
 query("logs", "select 'a' || i as log_id, 25 as file_format_version, 18 as min_reader_version from range(8) t(i)")(lambda s, d: corpus(s, d, "a", "logs").select("log_id", "file_format_version", "min_reader_version"))
