@@ -9,6 +9,14 @@ with the least id (then the first place) is kept, and all others are removed.  S
 short sentences, which recur by chance, are never passages.  Removed ranges are
 returned in code points of the original text.
 
+Where units are too long to show what two texts share, runs of WINDOW words are compared
+besides: those in which no line or sentence ends among the first or the last GAP words.
+Of each such run the least hash of ANCHOR words is chosen, so equal runs choose alike
+wherever they stand; runs whose choice occurs twice are grouped like passages, every run
+from every word on, so what repeats goes up to its true ends.  A run that overlaps the
+kept one (a text of one word over and over) is no repeat of it.  Which choices occur twice is told to the
+executors as a map of bits of a bounded size, which may name too many but never too few.
+
 Grouping takes a partial minimum per digest before the shuffle, and only digests that
 occur twice or more are joined back, so a passage that a third of the documents share
 is one aggregated row and a skewed join that can be split.
@@ -20,27 +28,30 @@ texts under `least_words` words have no passage; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import drop, written
 from .textvec import LOWER_WORDS, U, Words, chunks, map_texts, mix, power_tables
 
 LEAST_WORDS = 14
 GAP = 16
 ONE_IN = 8
+WINDOW = 51
+ANCHOR = 14
+MOST_BITS = 28  # of the places in the map of choices: 32 MB
 _END = np.zeros(256, bool)
 _END[list(b".!?\"')]")] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
-def cuts(words: Words) -> np.ndarray:
-    """Whether a unit ends after each word."""
+def line_ends(words: Words) -> np.ndarray:
+    """Whether a line or sentence ends after each word."""
     n = len(words.starts)
     ends = np.zeros(n, bool)
     if not n:
@@ -53,6 +64,15 @@ def cuts(words: Words) -> np.ndarray:
     ends |= newlines[follows] > newlines[words.ends]
     final = words.first[1:][words.counts() > 0] - 1
     ends[final] = True
+    return ends
+
+
+def cuts(words: Words) -> np.ndarray:
+    """Whether a unit ends after each word."""
+    n = len(words.starts)
+    ends = line_ends(words)
+    if not n:
+        return ends
     # Words with no end among the GAP words up to them.
     at = np.where(ends, np.arange(n), -1)
     latest = np.maximum.accumulate(at)
@@ -73,12 +93,38 @@ def passages(column: pa.Array, least_words: int) -> tuple[np.ndarray, np.ndarray
     document = words.document()
     inside = document[starts] == document[to - 1] if n else np.zeros(0, bool)
     starts, to = starts[inside], to[inside]
+    return starts, to, _digests(words)(starts, to), words
+
+
+def _digests(words: Words) -> Callable[..., np.ndarray]:
+    """Digests of ranges of words; those of another kind differ."""
     # A polynomial over word hashes: a difference of prefix sums, brought to a common place.
+    n = len(words.starts)
     powers, inverse = power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words.hash * powers[:n], out=sums[1:])
-    digest = mix((sums[to] - sums[starts]) * inverse[starts])
-    return starts, to, digest, words
+    return lambda starts, to, kind=0: mix((sums[to] - sums[starts]) * inverse[starts] + U(kind))
+
+
+def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the runs of WINDOW words that are compared, the digest that each chooses, and the places (first words) of what is chosen."""
+    size = len(words.starts) - WINDOW + 1
+    if size < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(line_ends(words))])
+    last = WINDOW - 1  # what follows a run decides whether its last word ends a line
+    bare = (ends[GAP : GAP + size] == ends[:size]) | (ends[last : last + size] == ends[last - GAP : last - GAP + size])
+    document = words.document()
+    bare &= document[:size] == document[WINDOW - 1 :]
+    starts = np.arange(size + WINDOW - ANCHOR)
+    hashes = _digests(words)(starts, starts + ANCHOR, 1)
+    least = hashes[:size].copy()
+    for k in range(1, WINDOW - ANCHOR + 1):
+        np.minimum(least, hashes[k : k + size], out=least)
+    chosen = np.zeros(len(hashes), bool)
+    for k in range(WINDOW - ANCHOR + 1):
+        chosen[k : k + size] |= bare & (hashes[k : k + size] == least)
+    return np.flatnonzero(bare), least[bare], np.flatnonzero(chosen)
 
 
 def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,20 +136,36 @@ def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
         for batch in batches:
             for part in chunks(batch):
                 starts, to, digest, words = passages(part.column("text"), least_words)
-                document = words.document()[starts] if len(starts) else starts
-                points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
-                zero = points[words.offsets[:-1]]
-                number = starts - words.first[document]
-                columns = [
-                    part.column("doc_id").take(pa.array(document)), pa.array(digest.view(np.int64)), pa.array(number.astype(np.int32)), pa.array((to - starts).astype(np.int32)),
-                    pa.array((points[words.starts[starts]] - zero[document]).astype(np.int32)), pa.array((points[words.ends[to - 1]] - zero[document]).astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "word", "words", "start", "end"])
-
-    units = written(map_texts(docs, run, f"doc_id {kind}, digest long, word int, words int, start int, end int"), "passages")
-    grouped = units.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max(F.struct("doc_id", "word")).alias("other")).where("keep <> other")
-    repeated = written(grouped.select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.word").alias("keep_word")), "repeated")
-    again = units.join(repeated, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("word") == F.col("keep_word"))))
+                yield _located(part, words, starts, to, digest)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                words = Words(part.column("text"), LOWER_WORDS)
+                places = windows(words)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(words)(places, places + ANCHOR, 1).view(np.int64))], names=["digest"])
+
+    first = F.col("doc_id").eqNullSafe(F.col("keep_doc"))
+    units = _written(map_texts(docs, run, f"doc_id {kind}, {_PLACE}"), "passages")
+    repeated = _written(_repeated(units), "repeated")
+    again = _written(units.join(repeated, "digest").where(~(first & (F.col("word") == F.col("keep_word")))).drop("digest", "keep_word"), "again")
+    drop(units)
+    drop(repeated)
+    twice = map_texts(docs.select("text"), choose, "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(_written(twice, "choices")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                words = Words(part.column("text"), LOWER_WORDS)
+                starts, least, _ = windows(words)
+                place = least & U(64 * len(shared.value) - 1)
+                starts = starts[shared.value[place >> U(6)] >> (place & U(63)) & U(1) == 1]
+                yield _located(part, words, starts, starts + WINDOW, _digests(words)(starts, starts + WINDOW, 2))
+
+    runs = _written(map_texts(docs, compare, f"doc_id {kind}, {_PLACE}"), "windows")
+    alike = _written(_repeated(runs), "alike")
+    again = again.unionByName(runs.join(alike, "digest").where(~(first & (F.col("word") < F.col("keep_word") + WINDOW))).drop("digest", "keep_word"))
     span = F.struct("start", "end", "word", (F.col("word") + F.col("words")).alias("to"))
     by_doc = again.groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("keep_doc")).alias("from_docs"))
     by_doc = by_doc.withColumn("runs", _merged(F.col("spans")))
@@ -118,6 +180,50 @@ def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     )
 
 
+_PLACE = "digest long, word int, words int, start int, end int"
+
+
+def _located(part: pa.RecordBatch, words: Words, starts: np.ndarray, to: np.ndarray, digest: np.ndarray) -> pa.RecordBatch:
+    """Rows of ranges of words with their document, number and code points."""
+    document = words.document()[starts] if len(starts) else starts
+    points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+    zero = points[words.offsets[:-1]]
+    number = starts - words.first[document]
+    columns = [
+        part.column("doc_id").take(pa.array(document)), pa.array(digest.view(np.int64)), pa.array(number.astype(np.int32)), pa.array((to - starts).astype(np.int32)),
+        pa.array((points[words.starts[starts]] - zero[document]).astype(np.int32)), pa.array((points[words.ends[to - 1]] - zero[document]).astype(np.int32)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "word", "words", "start", "end"])
+
+
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    """written(), with the shuffle files of the frame, which nothing else reads, deleted after it."""
+    conf, key = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return written(frame, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """Digests of more places than one, with the first of them."""
+    grouped = places.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max(F.struct("doc_id", "word")).alias("other")).where("keep <> other")
+    return grouped.select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.word").alias("keep_word"))
+
+
+def _bits(digests: DataFrame) -> np.ndarray:
+    """A bit set for each digest's low bits, in a map with 32 places a digest or of MOST_BITS bits."""
+    n = digests.count()
+    size = 1 << min(max(6, (32 * n).bit_length()), MOST_BITS)
+    place = F.col("digest").bitwiseAND(F.lit(size - 1))
+    rows = digests.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, cast(digest & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def _n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
