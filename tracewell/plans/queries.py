@@ -178,6 +178,7 @@ join p n on n.log_id = k.log_id and n.key = m.key and n.place between m.place -
 """
 query("error_context", A + _CONTEXT.format(every=25, radius=3))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9).where("event_index % 25 = 0"), 3))
 query("error_context_all", A + _CONTEXT.format(every=1, radius=2))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9), 2))
+query("error_context_default", A + _CONTEXT.format(every=1, radius=10))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9)))
 query("string_table", A + "select distinct log_id, value from (select log_id, message as value from a union all select log_id, code from a where kind in (9, 10) union all select log_id, file from a where kind in (9, 10) union all select log_id, project_file from a where kind in (9, 10))")(
     lambda s, d: corpus(s, d, "a", "strings").select("log_id", "value")
 )
