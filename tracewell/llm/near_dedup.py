@@ -16,13 +16,23 @@
    when the estimate is within six standard deviations of the threshold, by their
    full sets, unless links found before connect them already.  Only links that join
    two components are kept.  This is linear in the size of a group.
-5. Only groups of several blocks that still hold several components go on: there
-   classes of different components are compared across blocks, a pair of blocks at a
-   time.  So every pair that shares a band is either connected or verified.
+5. Only groups of several blocks that still hold several components go on.  A group's
+   core are the shingles of half of its classes and more.  A class has to share so many
+   shingles outside the core with any class it links with as its own part of the core is
+   short of the threshold; so two such classes have one in common among the first of
+   these (in order of hash, as many as may all be missing, and one).  Classes are dealt
+   by these shingles, which a family of texts from one template doesn't share, and those
+   that share one are compared in blocks, as are classes that consist of the core nearly.
+   So every pair that shares a band is connected or compared, or is shown not to link.
+
+A class is known by a 128-bit digest of its set, and rows by doc_id and a hash of the
+text, so no result rests on doc_ids being there or being different.
 
 Defined results: a null or wordless text has an empty set and stays alone; a text of
 fewer words than a shingle is one shingle; rows that repeat a doc_id with the same
-text share their result; other columns are ignored.
+text share their result; rows that repeat a doc_id with other texts are judged by their own;
+a null doc_id is no least one (a component without ids has none, and its rows are
+kept: one_of_each() judges rows); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +45,12 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import drop, written
-from .textvec import GRAM_FACTOR, LOWER_WORDS, U, Words, chunks, grams, map_texts, mix
+from .textvec import GRAM_FACTOR, KEY, LOWER_WORDS, U, Words, chunks, fresh_key, grams, map_texts, mix
 
 REGISTERS = 192
 MANTISSA_BITS = 10
@@ -53,9 +63,9 @@ def band_rows(threshold: float, registers: int = REGISTERS, miss: float = MISS)
     return max([1, *(r for r in range(1, 17) if (1 - threshold**r) ** (registers // r) <= miss)])
 
 
-def shingle_sets(column: pa.Array, n: int) -> tuple[list[np.ndarray], Words]:
+def shingle_sets(column: pa.Array, n: int, key: int = KEY) -> list[np.ndarray]:
     """For each text its distinct shingle hashes, ascending."""
-    words = Words(column, LOWER_WORDS)
+    words = Words(column, LOWER_WORDS, key)
     every, counts = grams(words.hash, n), words.counts()
     sets = []
     for d, count in enumerate(counts):
@@ -66,7 +76,7 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[list[np.ndarray], Words]:
             sets.append(grams(words.hash[lo : lo + count], int(count)))
         else:
             sets.append(np.zeros(0, np.uint64))
-    return sets, words
+    return sets
 
 
 def _probe(attempt: int, k: int) -> np.ndarray:
@@ -122,39 +132,52 @@ def least_estimate(threshold: float, k: int = REGISTERS) -> float:
     return threshold - 6 * math.sqrt(threshold * (1 - threshold) / k)
 
 
-def _sketches(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
+def _sketches(docs: DataFrame, n: int, rows: int, k: int, key: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                sets, _ = shingle_sets(part.column("text"), n)
-                keys = band_keys(sketch(sets, k), rows)
-                names = ["doc_id", "n_shingles", "digest", "bands"]
+                sets = shingle_sets(part.column("text"), n, key)
+                names = ["doc_id", "text_hash", "n_shingles", "digest", "bands"]
                 columns = [
                     part.column("doc_id"),
+                    part.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array(list(keys), pa.list_(pa.int64())),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
+                    pa.array(list(band_keys(sketch(sets, k), rows)), pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_texts(docs, run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
+    return map_texts(docs, run, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
-def _bodies(docs: DataFrame, ids: DataFrame, n: int, k: int) -> DataFrame:
-    """Registers and full sets (8-byte hashes, ascending) of the classes that share a bucket."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _digest(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
+def _bodies(docs: DataFrame, rows: DataFrame, n: int, k: int, key: int) -> DataFrame:
+    """Registers and full sets (8-byte hashes, ascending) of the classes of some rows (doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for part in chunks(batch):
-                sets, _ = shingle_sets(part.column("text"), n)
-                columns = [part.column("doc_id"), pa.array([r.tobytes() for r in sketch(sets, k)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            # The join sorts rows, so those that repeat the same text follow each other: one is enough.
+            texts = np.asarray(batch.column("text_hash"))
+            new = np.concatenate([[before is None or texts[0] != before], texts[1:] != texts[:-1]]) if len(texts) else np.zeros(0, bool)
+            before = texts[-1] if len(texts) else before
+            for part in chunks(batch.filter(pa.array(new))):
+                sets = shingle_sets(part.column("text"), n, key)
+                columns = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([r.tobytes() for r in sketch(sets, k)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "registers", "set"])
 
-    chosen = docs.hint("merge").join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    return map_texts(chosen, run, f"id {kind}, registers binary, set binary")
+    chosen = docs.alias("d").hint("merge").join(rows.alias("r").hint("merge"), same_row("d", "r"), "left_semi")
+    return map_texts(chosen, run, "id binary, registers binary, set binary")
+
+
+def same_row(a: str, b: str) -> Column:
+    """Rows of two relations with the same doc_id, or none, and the same text."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.text_hash").eqNullSafe(F.col(f"{b}.text_hash"))
 
 
 def new_links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: Fraction, k: int) -> list[tuple]:
@@ -185,42 +208,85 @@ def new_links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: Fractio
     return found
 
 
-def _linked(dealt: DataFrame, across: bool, threshold: Fraction, k: int) -> DataFrame:
-    """Links found in each group (leader, i, j) of blocks."""
-    kind = dealt.schema["id"].dataType.simpleString()
+def _linked(dealt: DataFrame, threshold: Fraction, k: int) -> DataFrame:
+    """Links found in each block of a bucket (i = j), or between two of its blocks."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if across:
-            right = group["block"] == group["j"]
-            links = new_links(group[~right], group[right], threshold, k)
-        else:  # the leader is first, as it is near most of its group
-            links = new_links(group.sort_values("id", key=lambda x: x != group["leader"].iloc[0]), None, threshold, k)
-        return pd.DataFrame({"u": pd.Series([u for u, _ in links], dtype=group["id"].dtype), "v": pd.Series([v for _, v in links], dtype=group["id"].dtype)})
+        # The leader goes first, as it is near most of its group.
+        group = group.drop_duplicates("id").sort_values("id", key=lambda x: x != group["leader"].iloc[0], kind="stable")
+        right = (group["block"] == group["j"]) & (group["i"] != group["j"])
+        links = new_links(group[~right], group[right] if right.any() else None, threshold, k)
+        return pd.DataFrame({"u": pd.Series([u for u, _ in links], dtype=object), "v": pd.Series([v for _, v in links], dtype=object)})
 
-    return dealt.groupBy("leader", "i", "j").applyInPandas(run, f"u {kind}, v {kind}")
+    return dealt.groupBy("leader", "key", "i", "j").applyInPandas(run, "u binary, v binary")
 
 
-def near_duplicates(
-    documents: DataFrame,
-    shingle: int = 5,
-    threshold: str = "0.8",
-    doc_id: str = "doc_id",
-    text: str = "text",
-    registers: int = REGISTERS,
-) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, class_id (least doc_id with the same set), component_id, kept."""
-    limit = Fraction(threshold)
-    k, rows = registers, band_rows(float(limit), registers)
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = written(_sketches(docs, shingle, rows, k), "sketches")
-    named = sketches.where(F.col("digest").isNotNull())
-    ids = named.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = written(
-        named.join(ids.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d")))
-        .select("id", F.col("d").alias("digest"), F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id", "digest"]),
-        "classes",
-    )
+def _core(members: DataFrame) -> DataFrame:
+    """For each leader the shingles of half of its classes and more: at most twice as many as its sets have on average."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaders, numbers = np.unique(np.array(batch.column("leader").to_pylist(), object), return_inverse=True)
+            sets = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
+            for k, leader in enumerate(leaders):
+                shingles, n = np.unique(np.concatenate([sets[x] for x in np.flatnonzero(numbers == k)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([leader] * len(n), pa.binary()), pa.array(shingles.view(np.int64)), pa.array(n)], names=["leader", "shingle", "n"])
+
+    sizes = members.groupBy("leader").agg(F.count("*").alias("m"))
+    counted = members.select("leader", "set").mapInArrow(count, "leader binary, shingle long, n long").groupBy("leader", "shingle").agg(F.sum("n").alias("n"))
+    return counted.join(sizes, "leader").where("2 * n >= m").groupBy("leader").agg(F.collect_list("shingle").alias("core"))
+
+
+def _by_shingle(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """leader, id, component and key: the shingles outside the core of which two classes that link share one; null for a class of core nearly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys = [], []
+            for x, (body, core) in enumerate(zip(batch.column("set").to_pylist(), batch.column("core"), strict=True)):
+                own = np.frombuffer(body, np.uint64)
+                common = np.isin(own, np.asarray(core.values).view(np.uint64)) if core.is_valid else np.zeros(len(own), bool)
+                rest = own[~common].view(np.int64)
+                need = -(-threshold.numerator * len(own) // threshold.denominator) - int(common.sum())
+                if need < 1:
+                    at.append([x])
+                    keys.append(pa.nulls(1, pa.int64()))
+                rest = rest[: len(rest) - max(need, 1) + 1]
+                at.append(np.full(len(rest), x))
+                keys.append(pa.array(rest))
+            some = batch.select(["leader", "id", "component"]).take(pa.array(np.concatenate(at) if at else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.concat_arrays(keys) if keys else pa.nulls(0, pa.int64())], names=["leader", "id", "component", "key"])
+
+    return members.join(_core(members), "leader", "left").select("leader", "id", "component", "set", "core").mapInArrow(run, "leader binary, id binary, component binary, key long")
+
+
+def _later_links(groups: DataFrame, bodies: DataFrame, component: DataFrame, threshold: Fraction, k: int) -> DataFrame:
+    """Links between the blocks of groups that still hold several components."""
+    large = groups.where("blocks > 1").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = large.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("leader")
+    members = written(large.join(split, "leader").select("leader", "id", "component").join(bodies.select("id", "set"), "id"), "members")
+    keyed = written(_by_shingle(members, threshold), "keyed")
+    drop(members)
+    buckets = keyed.groupBy("leader", "key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    buckets = buckets.select("leader", "key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    same = (F.col("x.leader") == F.col("y.leader")) & F.col("x.key").eqNullSafe(F.col("y.key"))
+    rows = keyed.alias("x").join(buckets.alias("y"), same).select("x.leader", "x.key", "id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("leader", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
+    links = written(_linked(dealt.join(bodies, "id"), threshold, k), "links")
+    drop(keyed)
+    return links
+
+
+def _judged(documents: DataFrame, shingle: int, threshold: str, doc_id: str, text: str, k: int) -> DataFrame:
+    """A row for each document: doc_id, text_hash, n_shingles, root (a digest for each component; null without words), class_id, component_id."""
+    limit, key = Fraction(threshold), fresh_key()
+    rows = band_rows(float(limit), k)
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    sketches = written(_sketches(docs, shingle, rows, k, key), "sketches")
+    row = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    made = sketches.where(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("id")).agg(row, F.min("doc_id").alias("class_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = written(made, "classes")
     # Sets that differ reach the threshold only from so many shingles on.
     least_n = math.ceil(limit / (1 - limit)) if limit < 1 else 1
     banded = classes.where(F.col("n") >= least_n).select("id", F.explode("bands").alias("key"))
@@ -232,21 +298,65 @@ def near_duplicates(
     blocks = groups.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     groups = written(groups.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "groups")
     drop(buckets)
-    bodies = written(_bodies(docs, groups.select("id").distinct(), shingle, k), "bodies")
+    chosen = classes.join(groups.select("id").distinct(), "id", "left_semi").select("row.doc_id", "row.text_hash")
+    bodies = written(_bodies(docs, chosen, shingle, k, key), "bodies")
     # A leader is in every block of its group.
     in_blocks = groups.withColumn("i", F.explode(F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    in_blocks = in_blocks.select("leader", "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"))
-    links = written(_linked(in_blocks.join(bodies, "id"), False, limit, k), "links")
+    in_blocks = in_blocks.select("leader", F.lit(None).cast("long").alias("key"), "i", F.col("i").alias("j"), "block", "id", F.col("id").alias("component"))
+    links = written(_linked(in_blocks.join(bodies, "id"), limit, k), "links")
     component = connected_components(links)
-    large = groups.where("blocks > 1").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = large.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("leader")
-    large = large.join(split, "leader").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
-    across = large.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-    new = written(_linked(across.join(bodies, "id"), True, limit, k), "links")
-    if not new.isEmpty():
-        component = connected_components(links.unionByName(new))
-    drop(bodies)
-    of_class = classes.select("digest", F.col("id").alias("class_id")).join(component.withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").cast(kind).alias("class_id"), F.coalesce("component", "class_id", "doc_id").cast(kind).alias("component_id"))
+    later = _later_links(groups, bodies, component, limit, k)
+    if not later.isEmpty():
+        component = connected_components(links.unionByName(later))
+    for table in (bodies, groups, links, later):
+        drop(table)
+    roots = classes.select("id", "class_id").join(component, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+    least = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    of_class = roots.join(least, "root").withColumnRenamed("id", "digest")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "digest").join(of_class, "digest", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(
+    documents: DataFrame,
+    shingle: int = 5,
+    threshold: str = "0.8",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    registers: int = REGISTERS,
+) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, class_id (least doc_id with the same set), component_id, kept."""
+    out = _judged(documents, shingle, threshold, doc_id, text, registers).drop("text_hash", "root")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(
+    documents: DataFrame,
+    shingle: int = 5,
+    threshold: str = "0.8",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    registers: int = REGISTERS,
+) -> DataFrame:
+    """The documents, columns as they are, with one row of each component, and all rows without words.
+
+    It is the row with the least doc_id (one with an id if there is any, then the least hash of the text); of
+    rows that repeat its id and text, any one.
+    """
+    judged = written(_judged(documents, shingle, threshold, doc_id, text, registers).where(F.col("root").isNotNull()).select("doc_id", "text_hash", "root"), "judged")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = judged.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    members = judged.join(best, "root").groupBy("doc_id", "text_hash").agg(F.max(order == F.col("best")).alias("stays"), F.count("*").alias("n"))
+    decided = written(members.where("n > 1 or not stays").select("doc_id", "text_hash", "stays"), "decided")
+    drop(judged)
+    given = documents.columns
+    own = documents.withColumns({"__id": F.col(doc_id), "__hash": F.xxhash64(text)}).alias("d")
+
+    def joined(rows: DataFrame, how: str) -> DataFrame:
+        return own.join(rows.alias("r"), F.col("d.__id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.__hash") == F.col("r.text_hash")), how)
+
+    kept = joined(decided, "left_anti").select([F.col(f"d.`{c}`") for c in given])
+    repeated = decided.where("stays")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(joined(repeated, "left_semi").dropDuplicates(["__id", "__hash"]).select(given))

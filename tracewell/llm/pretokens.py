@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .textvec import PrefixHash, text_buffers
+from .textvec import fresh_key, hash_ranges, text_buffers
 
 BYTE_BPE = "byte_bpe_50k.json"
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
@@ -28,6 +28,8 @@ LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CACHE_WORDS = 500_000
 CHUNK = 2 << 20
+COMPARED = 4 << 20  # bytes of pre-tokens compared at a time
+_KEY = fresh_key()  # of this Python worker: hashes of pre-tokens don't leave it
 
 
 def read_vocabulary(path: str) -> str:
@@ -78,7 +80,7 @@ def token_bytes(vocabulary: dict) -> dict[int, bytes]:
 
 
 class PreTokens:
-    """Pre-tokens of a chunk: byte starts and ends, hashes, and each document's first one's number (and the count last)."""
+    """Pre-tokens of a chunk: byte starts and ends, and each document's first one's number (and the count last)."""
 
     def __init__(self, column: pa.Array, special: Iterable[str] = ()):
         self.data, offsets = text_buffers(column)
@@ -105,7 +107,6 @@ class PreTokens:
         self.ends = np.append(self.starts[1:], size) if len(starts) else self.starts
         self.first = np.searchsorted(self.starts, offsets)
         self.offsets = offsets
-        self.hash = PrefixHash(self.data)(self.starts, self.ends)
 
     @staticmethod
     def _starts(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -143,8 +144,37 @@ class PreTokens:
                         begin[q + 1 + length] = True
         return begin
 
-    def text(self, i: int) -> str:
-        return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8")
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """For each pre-token the number of its bytes, and the bytes of each number; hashes group them, and their bytes are compared."""
+        codes, hashes = pd.factorize(hash_ranges(self.data, self.starts, self.ends, _KEY))
+        first = np.full(len(hashes), -1)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        alike = first[codes]
+        if not self._equal(alike):
+            every = np.empty(len(codes), object)
+            every[:] = self._bytes(np.arange(len(codes)))
+            codes, known = pd.factorize(every)
+            return codes, list(known)
+        return codes, self._bytes(first)
+
+    def _bytes(self, at: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+    def _equal(self, alike: np.ndarray) -> bool:
+        """Whether each pre-token has the bytes of the one whose number is given."""
+        sizes = self.ends - self.starts
+        if not (sizes == sizes[alike]).all():
+            return False
+        a = 0
+        while a < len(sizes):  # pre-tokens follow each other without gaps
+            b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + COMPARED)))
+            lo, hi = self.starts[a], self.ends[b - 1]
+            index = np.repeat(self.starts[alike[a:b]] - self.starts[a:b], sizes[a:b]) + np.arange(lo, hi)
+            if not (self.data[index] == self.data[lo:hi]).all():
+                return False
+            a = b
+        return True
 
 
 class WordCache:
@@ -155,7 +185,7 @@ class WordCache:
 
     def __init__(self, compute: Callable[[list[str]], Iterable[list[int]]], most: int = CACHE_WORDS):
         self.compute, self.most = compute, most
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.values, self.offsets, self.met = array("I"), array("q", [0]), array("I")
 
     def _forget(self) -> None:
@@ -173,19 +203,16 @@ class WordCache:
 
     def lookup(self, tokens: PreTokens) -> tuple[np.ndarray, np.ndarray]:
         """All values in order, and the offset of each pre-token's first (and the number of all last)."""
-        codes, distinct = pd.factorize(tokens.hash)
+        codes, keys = tokens.distinct()
         if len(self.slot) > self.most:
             self._forget()
-        keys, slot = distinct.tolist(), self.slot
-        missing = [k for k, key in enumerate(keys) if key not in slot]
-        if missing:
-            some = np.full(len(distinct), -1)
-            some[codes[::-1]] = np.arange(len(codes))[::-1]  # where each occurs first
-            for k, value in zip(missing, self.compute([tokens.text(some[k]) for k in missing]), strict=True):
-                slot[keys[k]] = len(self.offsets) - 1
-                self.values.extend(value)
-                self.offsets.append(len(self.values))
-                self.met.append(0)
+        slot = self.slot
+        missing = [key for key in keys if key not in slot]
+        for key, value in zip(missing, self.compute([key.decode() for key in missing]) if missing else (), strict=True):
+            slot[key] = len(self.offsets) - 1
+            self.values.extend(value)
+            self.offsets.append(len(self.values))
+            self.met.append(0)
         own = np.fromiter(map(slot.__getitem__, keys), np.int64, len(keys))
         np.frombuffer(self.met, np.uint32)[own] += 1
         slots = own[codes]

@@ -21,14 +21,19 @@ Grouping takes a partial minimum per digest before the shuffle, and only digests
 occur twice or more are joined back, so a passage that a third of the documents share
 is one aggregated row and a skewed join that can be split.
 
+Documents are ranked by doc_id (null ones first) and, where rows of different texts share
+one, by a hash of the text.
+
 Defined results: a null or wordless text has no units; passages may repeat within a
-document; rows that repeat a doc_id count as one document and are returned once each;
-texts under `least_words` words have no passage; other columns are ignored.
+document; rows that repeat a doc_id and its text count as one document and are returned
+once each, rows that repeat a doc_id with other texts, or have none, are documents of their own;
+texts under `least_words` words have no passage; a very long text is a chunk of its own; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import drop, written
-from .textvec import LOWER_WORDS, U, Words, chunks, map_texts, mix, power_tables
+from .textvec import LOWER_WORDS, U, Words, chunks, map_texts, mix, pair
 
 LEAST_WORDS = 14
 GAP = 16
@@ -93,20 +98,31 @@ def passages(column: pa.Array, least_words: int) -> tuple[np.ndarray, np.ndarray
     document = words.document()
     inside = document[starts] == document[to - 1] if n else np.zeros(0, bool)
     starts, to = starts[inside], to[inside]
-    return starts, to, _digests(words)(starts, to), words
+    return starts, to, Digests(words)(starts, to), words
 
 
-def _digests(words: Words) -> Callable[..., np.ndarray]:
-    """Digests of ranges of words; those of another kind differ."""
-    # A polynomial over word hashes: a difference of prefix sums, brought to a common place.
-    n = len(words.starts)
-    powers, inverse = power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hash * powers[:n], out=sums[1:])
-    return lambda starts, to, kind=0: mix((sums[to] - sums[starts]) * inverse[starts] + U(kind))
+class Digests:
+    """Digests of ranges of words, equal for equal ranges; those of another kind differ.
+
+    Hashes of 1, 2, 4, ... words from each word on are made from each other when first needed; a range is two of them, which overlap.
+    """
+
+    def __init__(self, words: Words):
+        self.levels = [words.hash]
 
+    def __call__(self, starts: np.ndarray, to: np.ndarray, kind: int = 0) -> np.ndarray:
+        size, out = to - starts, np.zeros(len(starts), np.uint64)
+        level = np.frexp(size.astype(np.float64))[1] - 1
+        for k in np.unique(level).tolist():
+            while len(self.levels) <= k:
+                half = 1 << len(self.levels) - 1
+                self.levels.append(pair(self.levels[-1][:-half], self.levels[-1][half:]))
+            at = level == k
+            out[at] = pair(self.levels[k][starts[at]], self.levels[k][to[at] - (1 << k)])
+        return pair(out, size.astype(np.uint64) * U(4) + U(kind))
 
-def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def windows(words: Words, digests: Digests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words of the runs of WINDOW words that are compared, the digest that each chooses, and the places (first words) of what is chosen."""
     size = len(words.starts) - WINDOW + 1
     if size < 1:
@@ -117,7 +133,7 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     document = words.document()
     bare &= document[:size] == document[WINDOW - 1 :]
     starts = np.arange(size + WINDOW - ANCHOR)
-    hashes = _digests(words)(starts, starts + ANCHOR, 1)
+    hashes = digests(starts, starts + ANCHOR, 1)
     least = hashes[:size].copy()
     for k in range(1, WINDOW - ANCHOR + 1):
         np.minimum(least, hashes[k : k + size], out=least)
@@ -129,7 +145,7 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_words, removed (ranges [start, end) in code points, apart), n_removed_words, from_docs (documents that keep the passages)."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +158,14 @@ def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
         for batch in batches:
             for part in chunks(batch):
                 words = Words(part.column("text"), LOWER_WORDS)
-                places = windows(words)[2]
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(words)(places, places + ANCHOR, 1).view(np.int64))], names=["digest"])
+                digests = Digests(words)
+                places = windows(words, digests)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(digests(places, places + ANCHOR, 1).view(np.int64))], names=["digest"])
 
-    first = F.col("doc_id").eqNullSafe(F.col("keep_doc"))
+    first = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("text_hash") == F.col("keep_hash"))
     units = _written(map_texts(docs, run, f"doc_id {kind}, {_PLACE}"), "passages")
     repeated = _written(_repeated(units), "repeated")
-    again = _written(units.join(repeated, "digest").where(~(first & (F.col("word") == F.col("keep_word")))).drop("digest", "keep_word"), "again")
+    again = _written(units.join(repeated, "digest").where(~(first & (F.col("word") == F.col("keep_word")))).drop("digest", "keep_hash", "keep_word"), "again")
     drop(units)
     drop(repeated)
     twice = map_texts(docs.select("text"), choose, "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
@@ -158,29 +175,29 @@ def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
         for batch in batches:
             for part in chunks(batch):
                 words = Words(part.column("text"), LOWER_WORDS)
-                starts, least, _ = windows(words)
+                digests = Digests(words)
+                starts, least, _ = windows(words, digests)
                 place = least & U(64 * len(shared.value) - 1)
                 starts = starts[shared.value[place >> U(6)] >> (place & U(63)) & U(1) == 1]
-                yield _located(part, words, starts, starts + WINDOW, _digests(words)(starts, starts + WINDOW, 2))
+                yield _located(part, words, starts, starts + WINDOW, digests(starts, starts + WINDOW, 2))
 
     runs = _written(map_texts(docs, compare, f"doc_id {kind}, {_PLACE}"), "windows")
     alike = _written(_repeated(runs), "alike")
-    again = again.unionByName(runs.join(alike, "digest").where(~(first & (F.col("word") < F.col("keep_word") + WINDOW))).drop("digest", "keep_word"))
+    again = again.unionByName(runs.join(alike, "digest").where(~(first & (F.col("word") < F.col("keep_word") + WINDOW))).drop("digest", "keep_hash", "keep_word"))
     span = F.struct("start", "end", "word", (F.col("word") + F.col("words")).alias("to"))
-    by_doc = again.groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("keep_doc")).alias("from_docs"))
-    by_doc = by_doc.withColumn("runs", _merged(F.col("spans")))
-    counts = docs.select("doc_id", _n_words(F.col("text")).alias("n_words"))
-    out = counts.alias("a").join(by_doc.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
-    none = F.expr("cast(array() as array<struct<start:int,end:int,word:int,to:int>>)")
-    runs = F.coalesce("b.runs", none)
-    return out.select(
-        "a.doc_id", "n_words", F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("removed"),
-        F.aggregate(runs, F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["word"]).alias("n_removed_words"),
+    by_doc = again.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("keep_doc")).alias("from_docs"))
+    by_doc = by_doc.mapInArrow(_merged, f"doc_id {kind}, text_hash long, removed {_RANGES}, n_removed_words long, from_docs array<{kind}>")
+    counts = docs.select("doc_id", "text_hash", _n_words(F.col("text")).alias("n_words"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    return counts.alias("a").join(by_doc.alias("b"), same, "left").select(
+        "a.doc_id", "n_words", F.coalesce("b.removed", F.expr(f"cast(array() as {_RANGES})")).alias("removed"),
+        F.coalesce("n_removed_words", F.lit(0).cast("long")).alias("n_removed_words"),
         F.coalesce("b.from_docs", F.expr(f"cast(array() as array<{kind}>)")).alias("from_docs"),
     )
 
 
-_PLACE = "digest long, word int, words int, start int, end int"
+_RANGES = "array<struct<start:int,end:int>>"
+_PLACE = "text_hash long, digest long, word int, words int, start int, end int"
 
 
 def _located(part: pa.RecordBatch, words: Words, starts: np.ndarray, to: np.ndarray, digest: np.ndarray) -> pa.RecordBatch:
@@ -190,10 +207,10 @@ def _located(part: pa.RecordBatch, words: Words, starts: np.ndarray, to: np.ndar
     zero = points[words.offsets[:-1]]
     number = starts - words.first[document]
     columns = [
-        part.column("doc_id").take(pa.array(document)), pa.array(digest.view(np.int64)), pa.array(number.astype(np.int32)), pa.array((to - starts).astype(np.int32)),
+        *(part.column(c).take(pa.array(document)) for c in ("doc_id", "text_hash")), pa.array(digest.view(np.int64)), pa.array(number.astype(np.int32)), pa.array((to - starts).astype(np.int32)),
         pa.array((points[words.starts[starts]] - zero[document]).astype(np.int32)), pa.array((points[words.ends[to - 1]] - zero[document]).astype(np.int32)),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "word", "words", "start", "end"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "digest", "word", "words", "start", "end"])
 
 
 def _written(frame: DataFrame, name: str) -> DataFrame:
@@ -209,8 +226,9 @@ def _written(frame: DataFrame, name: str) -> DataFrame:
 
 def _repeated(places: DataFrame) -> DataFrame:
     """Digests of more places than one, with the first of them."""
-    grouped = places.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max(F.struct("doc_id", "word")).alias("other")).where("keep <> other")
-    return grouped.select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.word").alias("keep_word"))
+    place = F.struct("doc_id", "text_hash", "word")
+    grouped = places.groupBy("digest").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("keep <> other")
+    return grouped.select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.text_hash").alias("keep_hash"), F.col("keep.word").alias("keep_word"))
 
 
 def _bits(digests: DataFrame) -> np.ndarray:
@@ -228,19 +246,25 @@ def _n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _merged(spans: Column) -> Column:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted ranges with those that meet in a word made one."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,word:int,to:int>>)")
-    first = F.expr("cast(named_struct('start', -1, 'end', -1, 'word', -1, 'to', -1) as struct<start:int,end:int,word:int,to:int>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        grown = F.struct(now["start"].alias("start"), F.greatest(now["end"], x["end"]).alias("end"), now["word"].alias("word"), F.greatest(now["to"], x["to"]).alias("to"))
-        meets = x["word"] <= now["to"]
-        return F.struct(F.when(meets, acc["out"]).otherwise(F.concat(acc["out"], F.array(now))).alias("out"), F.when(meets, grown).otherwise(x).alias("now"))
-
-    done = F.aggregate(spans, F.struct(empty.alias("out"), first.alias("now")), step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
-    return F.filter(done, lambda x: x["start"] >= 0)
+    for batch in batches:
+        spans = batch.column("spans")
+        sizes = np.diff(np.asarray(spans.offsets))
+        start, end, word, to = (np.asarray(x, np.int64) for x in spans.flatten().flatten())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        apart = row << 32  # ranges of one row lie below those of the next
+        reach = np.maximum.accumulate(to + apart) if len(row) else apart
+        begin = np.flatnonzero(np.concatenate([[True], (word + apart)[1:] > reach[:-1]])) if len(row) else row
+        of_row, zero = row[begin], np.zeros(0, np.int64)
+        first, last = start[begin], np.maximum.reduceat(end, begin) if len(begin) else zero
+        words = np.maximum.reduceat(to, begin) - word[begin] if len(begin) else zero
+        ranges = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["start", "end"])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of_row, minlength=len(sizes)))])
+        removed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ranges)
+        total = np.bincount(of_row, words, len(sizes)).astype(np.int64)
+        columns = [batch.column("doc_id"), batch.column("text_hash"), removed, pa.array(total), batch.column("from_docs")]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "removed", "n_removed_words", "from_docs"])
 
 
 def without(text: Column, removed: Column) -> Column:

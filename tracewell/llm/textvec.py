@@ -3,9 +3,10 @@
 An Arrow string column is one byte buffer with offsets.  Word classes used by the
 operators are all decided by ASCII bytes (every byte of a multi-byte character is
 >= 0x80), so words can be found on bytes with a 256-entry table, for all documents
-of a batch at once.  A word's hash is a polynomial over random byte values taken
-modulo 2**64 and then mixed; being a difference of prefix sums it costs two lookups
-whatever the word's length, so very long texts and words are no special case.
+of a batch at once.  A word's hash takes eight of its bytes at a time through a keyed
+permutation of 64-bit integers (words over LONG bytes go through keyed BLAKE2b), so no
+words can be made to collide without the key: jobs that take equal hashes for equal words
+draw a new key each (`fresh_key`).
 
 Null texts are read as empty ones.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +28,11 @@ from pyspark.sql.types import StructType
 U = np.uint64
 CHUNK_BYTES = 1 << 20  # work on about this much text at a time; one longer text is one chunk
 
+KEY = 0x9E3779B97F4A7C15  # where hashes decide what is returned, such as where a unit ends
+LONG = 64
 _random = np.random.Generator(np.random.PCG64(20240611))
-BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 GRAM_FACTOR = _random.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,13 +76,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def map_texts(frame: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """mapInArrow for rows with texts: where the session leaves the rows of a batch at the default of 10,000, batches have 1,000."""
-    conf = frame.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """mapInArrow for rows with texts, whose batches are bounded by the session's rows and bytes; run cuts them into chunks()."""
     return frame.mapInArrow(tidy(run), schema)
 
 
+def fresh_key() -> int:
+    """A key for one job's hashes, drawn on the driver and sent with the job's functions, so that repeated tasks hash alike."""
+    return secrets.randbits(64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> U(30))
@@ -89,17 +94,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows, and the rows' offsets in them (one more than rows)."""
     if not len(column):
@@ -122,16 +116,25 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -
         lo = hi
 
 
-class PrefixHash:
-    """Hashes of any byte ranges of one buffer."""
-
-    def __init__(self, data: np.ndarray):
-        powers, self.inverse = power_tables(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * powers[: len(data)], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEY) -> np.ndarray:
+    """Hashes of byte ranges of a buffer, by their bytes and length."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + mix(np.array([key], np.uint64)))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(live):
+        out[live] = mix(out[live] ^ eight[starts[live] + at] & _KEPT[np.minimum(size[live] - at, 8)])
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        secret = key.to_bytes(8, "little")
+        digests = [hashlib.blake2b(data[a:b], digest_size=8, key=secret).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(digests), "<u8")
+    return out
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,21 +158,36 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Words:
     """Words of a chunk: byte starts and ends, 64-bit hashes, and each document's first word's number (and the count last)."""
 
-    def __init__(self, column: pa.Array, table: np.ndarray):
+    def __init__(self, column: pa.Array, table: np.ndarray, key: int = KEY):
         self.raw, self.offsets = text_buffers(column)
         mapped = table[self.raw]
         self.inside = mapped != 0
         self.starts, self.ends = runs(self.inside, self.offsets)
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.hash = PrefixHash(mapped)(self.starts, self.ends)
+        self.hash = hash_ranges(mapped, self.starts, self.ends, key)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def select(self, keep: np.ndarray) -> Words:
+        """The words of some of the documents, without looking for them again."""
+        sizes, counts, new = np.diff(self.offsets), self.counts(), Words.__new__(Words)
+        of_byte, of_word = np.repeat(keep, sizes), np.repeat(keep, counts)
+        new.raw, new.inside, new.hash = self.raw[of_byte], self.inside[of_byte], self.hash[of_word]
+        new.offsets, new.first = (np.concatenate([[0], np.cumsum(n[keep])]) for n in (sizes, counts))
+        moved = np.repeat(self.offsets[:-1][keep] - new.offsets[:-1], counts[keep])
+        new.starts, new.ends = self.starts[of_word] - moved, self.ends[of_word] - moved
+        return new
+
     def document(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order."""
+    return mix(mix(a + U(KEY)) ^ b)
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each word on, whatever documents they are in; n - 1 fewer than words."""
     if len(hashes) < n:
@@ -179,3 +197,11 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         total = total + hashes[k : k + size] * GRAM_FACTOR[k]
     return mix(total + U(n))
+
+
+def grams_at(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """grams() at some places only."""
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        total = total + hashes[starts + k] * GRAM_FACTOR[k]
+    return mix(total + U(n))
