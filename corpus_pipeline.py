@@ -28,13 +28,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows are judged, not ids: of a group's rows, whether they repeat an id or have none, one stays (one with an id if there is any),
     and rows of other texts stay whatever id they share. Texts without words are in no group.
     """
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    found = near_dedup.near_duplicates(keyed, doc_id="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    groups = found.groupBy("__group").agg(F.count("*").alias("__n")).where("__n > 1").select("__group")
-    members = written(found.join(groups, "__group").join(keyed.select("__row", F.col("doc_id").alias("__id")), "__row"), "members")
-    stays = members.groupBy("__group").agg(F.min_by("__row", F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__row"))
-    gone = members.join(stays, "__row", "left_anti").select("__row")
-    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
+    return near_dedup.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
