@@ -299,19 +299,18 @@ def test_clean_judges_each_row_where_it_is(spark, docs, rows, empty, block_bytes
     assert decontam.clean(docs, bench, block_bytes=block_bytes).count() == len(rows)
 
 
-def test_frequent_fingerprints(spark, monkeypatch):
-    """A passage in very many items and places: joined fingerprints go in slices."""
-    monkeypatch.setattr(decontam, "MATCHES", 7)
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 60])
+def test_frequent_fingerprints(spark, block_bytes):
+    """A passage in very many items and places, and a text of one word against items of it."""
     same = " ".join("ha" for _ in range(14))
-    items = [(k, f"{same} z{k} and so on") for k in range(9)] + [(20, "ha"), (21, "HA"), (22, same)]
-    texts = [" ".join("ha" for _ in range(40)), f"a {same} z3 and so on", "no laughing", "ha"]
-    column = pa.array(texts)
-    found = decontam.Items([str(i) for i, _ in items], [t for _, t in items], 10, 5)
-    starts, ends, owner, item = found.hits(textvec.Words(column, textvec.ALNUM_WORDS))
+    items = [(k, f"{same} z{k} and so on") for k in range(9)] + [(20, "ha"), (21, "HA"), (22, same), (23, " ".join(["ha"] * 3000))]
+    texts = [" ".join("ha" for _ in range(40)), f"a {same} z3 and so on", "no laughing", "ha", " ".join(["ha"] * 60_000)]
+    frame, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.decontaminate(frame, bench, block_bytes=block_bytes)
     want = brute.contamination(texts, items)
-    listed = [sorted(set().union(*(found.ids[i] for d, i in zip(owner, item, strict=True) if d == k))) for k in range(len(texts))]
-    assert [len(x) for x in listed] == [x[2] for x in want]
-    assert [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed] == [x[3] for x in want]
+    assert got(decontam.digest(found), "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == expected((k, *x) for k, x in enumerate(want))
+    runs = {r["doc_id"]: [(x["first"], x["end"]) for x in r["runs"]] for r in found.collect()}
+    assert runs == {0: [(0, 40)], 1: [(1, 19)], 2: [], 3: [(0, 1)], 4: [(0, 60_000)]}
 
 
 def test_secrets_of_a_text_with_many_matches(spark):
