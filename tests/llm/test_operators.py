@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontam, langid, near_dedup, quality, resharding, secret_scan, substring_dedup, textvec, token_counts, token_files
 from tracewell.llm.components import connected_components
@@ -214,6 +215,17 @@ def test_longest_match_without_whole_words():
     assert [match.count(w) for w in (b"abcd", b"abcdx", b"abcde", b"bcdx", b"")] == [2, 2, 1, 3, 0]
 
 
+def test_resharding_plan_uses_every_byte():
+    files = [resharding.File(k % 3, f"f{k}", 7 + k % 5, 3) for k in range(20)] + [resharding.File(6, "g", 100, 1)]
+    done = resharding.plan(files, 4)
+    assert sorted([f.name for f in done.stay] + [f.name for f, _ in done.move] + [f.name for f, _ in done.cut]) == sorted(f.name for f in files)
+    total = Counter()
+    for to, size in [(f.shard, f.size) for f in done.stay] + [(to, f.size) for f, to in done.move] + [x for _, parts in done.cut for x in parts]:
+        total[to] += size
+    assert [total[j] for j in range(4)] == resharding.equal_capacities(sum(f.size for f in files), 4)
+    assert resharding.plan([], 4).stay == []
+
+
 def test_resharding(docs, rows, empty):
     found = resharding.digest(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
@@ -229,6 +241,40 @@ def test_resharding(docs, rows, empty):
     assert resharding.digest(empty).count() == 0
 
 
+def test_resharding_moves_the_least(spark, tmp_path):
+    """Bytes that leave their shards, against the least that any assignment of these sizes moves; files of what stays are not written again."""
+    rng = np.random.default_rng(8)
+    rows = [(None if k % 50 == 0 else k % 700, "é" * int(rng.integers(0, 60)) + "x" * int(k == 5) * 400, f"s{min(int(rng.geometric(0.4)), 6)}") for k in range(3000)]
+    rows += rows[:40]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(12)
+    old = {f"s{k}": k % 5 for k in range(1, 7)}
+    shard = F.element_at(F.create_map(*[F.lit(x) for pair in old.items() for x in pair]), F.col("source"))
+    path, new = str(tmp_path / "old"), str(tmp_path / "new")
+    resharding.write_layout(frame.withColumn("doc_id", F.concat_ws("|", "doc_id", "source")), path, shard)
+    before = {f.name: (tmp_path / "old" / f.name).read_bytes() for f in resharding.files_of(spark, path)}
+    done, manifest = resharding.reshard(spark, path, new, shards=4, doc_id_type="string")
+    found = resharding.read_shards(manifest, "string").collect()
+    size = lambda t: len(t.encode()) + 1
+    assert Counter((r["doc_id"].rpartition("|")[2], r["text"], r["size"]) for r in found) == Counter((s, t, size(t)) for _, t, s in rows)
+    supply, after = Counter(), Counter()
+    for _, t, s in rows:
+        supply[old[s]] += size(t)
+    for r in found:
+        after[r["shard"]] += r["size"]
+    capacity = resharding.equal_capacities(sum(supply.values()), 4)
+    assert all(abs(after[j] - capacity[j]) <= 20 for j in range(4))
+    least = sum(max(0, supply[i] - (capacity[i] if i < 4 else 0)) for i in range(5))
+    moved = sum(r["size"] for r in found if old[r["doc_id"].rpartition("|")[2]] != r["shard"])
+    assert abs(moved - least) <= 50
+    assert done.stay and done.move and done.cut and len(done.cut) < 4 * 5
+    assert all((tmp_path / "old" / name).read_bytes() == content for name, content in before.items())
+    assert {r["name"] for r in manifest.collect() if r["folder"] == path} == {f.name for f in done.stay}
+    rewritten = sum(f.stat().st_size for f in (tmp_path / "new").rglob("*.parquet"))
+    assert rewritten < sum(map(len, before.values())) * 0.75
+    for j in range(4):
+        assert sorted(r["slot"] for r in found if r["shard"] == j) == list(range(sum(r["shard"] == j for r in found)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=4), st.integers(1, 4))
 def test_flow_moves_the_least(supply, shards):

@@ -1,33 +1,36 @@
 """Resharding by minimum-cost flow: near-equal shards with the fewest bytes moved.
 
-Old shards are sources of their bytes and new shards take at most their capacities; a
-byte that stays costs nothing and one that moves costs one.  The flow says how many
-bytes go from each shard to each other one.  It is met by cutting each old shard, with
-its documents in order of falling size, into consecutive blocks: the first stays, the
-others go where the flow sends them, so the largest documents stay and every cut falls
-among small ones.  Cuts are sort keys, so a document's shard follows from its own
-columns: texts are shuffled once, straight into the new files.
-
-The driver holds one row for each range of the sort and old shard, and the flow.
+A layout is a folder of Parquet files, a subfolder for each shard.  Old shards are
+sources of their bytes and new shards take at most their capacities; a byte that stays
+costs nothing and one that moves costs one.  The flow says how many bytes go from each
+shard to each other one.  It is met by dealing each old shard's files, in order of their
+names, to consecutive blocks: the first stays, the others go where the flow sends them.
+Files of blocks that stay are left as they are, untouched.  Files of blocks that move are
+written anew in their new shards.  Of a file that a border between blocks cuts each row is
+dealt by itself: the largest first, to the block that still has room for it, so that what
+is left over is smaller than the file's smallest rows; it is written anew as well.
+A list of files with their shards and first slots (`manifest`) is the new layout.
+
+No step shuffles texts but those of cut files, of which there are fewer than one for each
+pair of shards: the others are read and written in splits of bytes.  The driver holds
+a row for each file, as Spark itself does for any table it reads, and the flow.
 
 Defined results: a null text has no bytes (size 1) and the checksum 0; null sources are
-one old shard; rows with equal sort keys (old shard, size, doc_id, checksum) go
-together; an empty table has no shards.
+one old shard; rows are dealt one by one, so rows with equal texts or doc_ids, or without an
+id, are no special case and may be in different shards; a row that is larger than a shard's
+capacity goes to the block with the most room; an empty table has no shards.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import drop, new_path, written
-from .textvec import map_texts
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -81,116 +84,141 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-KEY = ["neg_size", "doc_id", "crc"]
+@dataclass
+class File:
+    """A file of a layout."""
+
+    shard: int
+    name: str
+    size: int  # of the texts in it, with one for each row
+    rows: int
+
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
+
+
+def write_layout(documents: DataFrame, path: str, shard: Column, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Documents as a layout: each task writes a file for each shard of its rows."""
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _size(text).alias("size"), shard.cast("int").alias("shard"))
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def _read(spark: SparkSession, paths: list[str], doc_id_type: str) -> DataFrame:
+    return spark.read.schema(f"doc_id {doc_id_type}, text string, size long").parquet(*paths)
+
 
+def _file(path: Column) -> Column:
+    """Subfolder and name of a file: names repeat between the shards that one task writes."""
+    return F.array_join(F.slice(F.split(path, "/"), -2, 2), "/")
 
-def _keyed(documents: DataFrame, old: Column, doc_id: str, text: str) -> DataFrame:
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return documents.select(old.cast("int").alias("old"), (-F.octet_length(raw).cast("long") - 1).alias("neg_size"), F.col(doc_id).alias("doc_id"), F.crc32(raw).alias("crc"), F.col(text).alias("text"))
 
+def files_of(spark: SparkSession, path: str) -> list[File]:
+    """The files of a layout, in order; only the sizes are read."""
+    rows = spark.read.schema("size long, shard int").parquet(path)
+    found = rows.groupBy("shard", _file(F.col("_metadata.file_path")).alias("name")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    return [File(r["shard"], r["name"], r["size"], r["rows"]) for r in found.orderBy("shard", "name").collect()]
 
-def _parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+@dataclass
+class Plan:
+    """How a layout becomes the next: the flow, files that stay, files that move whole and their shards, and files that are cut, with the shards and bytes of their parts."""
 
-def plan_blocks(keyed: DataFrame, shards: int, capacities: list[int] | None = None) -> tuple[list[list[int]], list[dict]]:
-    """The flow (bytes from each old to each new shard) and the blocks: old, shard, first sort key; in order within each old shard."""
-    spark = keyed.sparkSession
-    light = keyed.select("old", *KEY).repartitionByRange(_parts(spark), "old", *KEY).sortWithinPartitions("old", *KEY)
-    window = Window.partitionBy("old")
+    flow: list[list[int]]
+    stay: list[File] = field(default_factory=list)
+    move: list[tuple[File, int]] = field(default_factory=list)
+    cut: list[tuple[File, list[tuple[int, int]]]] = field(default_factory=list)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, old, done = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            olds, sizes = np.asarray(batch.column("old")), -np.asarray(batch.column("neg_size"))
-            total = np.cumsum(sizes)
-            first = np.flatnonzero(np.concatenate([[True], olds[1:] != olds[:-1]])) if len(olds) else np.zeros(0, np.int64)
-            before = np.repeat(total[first] - sizes[first], np.diff(np.append(first, len(olds))))
-            until = total - before  # bytes up to and with the row, of its old shard in this part
-            if len(olds):
-                until[: first[1] if len(first) > 1 else len(olds)] += done if olds[0] == old else 0
-                old, done = olds[-1], int(until[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(olds), part, np.int32)), pa.array(until)], names=[*batch.schema.names, "part", "until"])
 
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    ranked = written(map_texts(light, number, f"old int, neg_size long, doc_id {kind}, crc long, part int, until long"), "ranked")
-    totals = ranked.groupBy("old", "part").agg(F.max("until").alias("n"))
-    offsets = totals.select("old", "part", F.coalesce(F.sum("n").over(window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    old_sizes = {r["old"]: r["n"] for r in totals.groupBy("old").agg(F.sum("n").alias("n")).collect()}
-    olds = max([shards, *(o + 1 for o in old_sizes)])
-    supply = [old_sizes.get(i, 0) for i in range(olds)]
+def plan(files: list[File], shards: int, capacities: list[int] | None = None) -> Plan:
+    olds = max([shards, *(f.shard + 1 for f in files)])
+    supply = [sum(f.size for f in files if f.shard == i) for i in range(olds)]
     capacities = capacities or equal_capacities(sum(supply), shards)
-    flow = min_cost_flow(supply, capacities, [[int(i != j) for j in range(shards)] for i in range(olds)])
-    pieces = []  # old, shard, bytes before the block, bytes with it
+    out = Plan(min_cost_flow(supply, capacities, [[int(i != j) for j in range(shards)] for i in range(olds)]))
     for i in range(olds):
-        at = 0
-        for j in sorted(range(shards), key=lambda j, i=i: (j != i, j)):
-            if flow[i][j]:
-                pieces.append((i, j, at, at + flow[i][j]))
-                at += flow[i][j]
-    if not pieces:
-        return flow, []
-    blocks = spark.createDataFrame(pieces, "b_old int, shard int, lo long, hi long")
-    # offsets has a row for each range and old shard, blocks at most one for each pair of shards.
-    placed = ranked.join(F.broadcast(offsets), ["old", "part"]).withColumn("middle", F.col("until") + F.col("offset") + F.col("neg_size") / 2)
-    placed = placed.join(F.broadcast(blocks), (F.col("old") == F.col("b_old")) & (F.col("middle") > F.col("lo")) & (F.col("middle") <= F.col("hi")))
-    firsts = placed.groupBy("old", "shard").agg(F.min(F.struct(*KEY)).alias("first")).collect()
-    drop(ranked)
-    order = {(i, j): at for i, j, at, _ in pieces}
-    return flow, [{"old": r["old"], "shard": r["shard"], "first": r["first"]} for r in sorted(firsts, key=lambda r: (r["old"], order[r["old"], r["shard"]]))]
-
-
-def _shard(blocks: list[dict], key_type: str) -> Column:
-    """The shard of a row: of its old shard's blocks the last that begins at or before its key."""
-    names = ["neg_size", "doc_id", "crc"]
-    key, shard = F.struct(*names), F.lit(None).cast("int")
-    for block in blocks:
-        first = F.struct(*[F.lit(block["first"][n]).cast(t).alias(n) for n, t in zip(names, ("long", key_type, "long"), strict=True)])
-        shard = F.when((F.col("old") == block["old"]) & (key >= first), F.lit(block["shard"])).otherwise(shard)
-    return shard
-
-
-def reshard(documents: DataFrame, path: str, old: Column, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> list[list[int]]:
-    """Write the documents' new shard files under path (a folder for each shard); returns the flow of bytes between shards."""
-    spark = documents.sparkSession
-    keyed = _keyed(documents, old, doc_id, text)
-    flow, blocks = plan_blocks(keyed, shards)
-    dealt = keyed.withColumn("shard", _shard(blocks, keyed.schema["doc_id"].dataType.simpleString()))
-    # Not in order of size: ranges of as many rows each would then hold very unequal bytes.
-    dealt = dealt.repartitionByRange(_parts(spark), "shard", "crc", "doc_id").sortWithinPartitions("shard", "crc", "doc_id")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            slots = []
-            for s in batch.column("shard").to_pylist():
-                slots.append(done.get(s, 0))
-                done[s] = slots[-1] + 1
-            columns = [batch.column(c) for c in ("doc_id", "text", "shard")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(slots, pa.int64())], names=["doc_id", "text", "shard", "part", "part_slot"])
-
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    map_texts(dealt, number, f"doc_id {kind}, text string, shard int, part int, part_slot long").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    return flow
-
-
-def read_shards(spark: SparkSession, path: str, doc_id_type: str = "long") -> DataFrame:
-    """doc_id, text, shard, slot (the place in the shard, from 0)."""
-    files = spark.read.schema(f"doc_id {doc_id_type}, text string, part int, part_slot long, shard int").parquet(path)
-    counts = files.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A row for each part and shard in it: at most parts + shards - 1, as parts are ranges.
-    return files.join(F.broadcast(counts.select("shard", "part", before.alias("before"))), ["shard", "part"]).select("doc_id", "text", "shard", (F.col("before") + F.col("part_slot")).alias("slot"))
+        blocks = [[j, out.flow[i][j]] for j in sorted(range(shards), key=lambda j, i=i: (j != i, j)) if out.flow[i][j]]
+        for f in (f for f in files if f.shard == i):
+            rest, parts = f.size, []
+            while rest:
+                part = min(rest, blocks[0][1])
+                parts.append((blocks[0][0], part))
+                rest, blocks[0][1] = rest - part, blocks[0][1] - part
+                if not blocks[0][1]:
+                    blocks.pop(0)
+            if len(parts) > 1:
+                out.cut.append((f, parts))
+            elif parts[0][0] == i:
+                out.stay.append(f)
+            else:
+                out.move.append((f, parts[0][0]))
+    return out
+
+
+def _dealt(rows: DataFrame, parts: dict[str, list[tuple[int, int]]]) -> DataFrame:
+    """name, row and shard of the rows (name, row, size) of cut files, each file in one task."""
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        heap = [(-room, j) for j, room in parts[group["name"].iloc[0]]]
+        heapq.heapify(heap)
+        group, shards = group.sort_values(["size", "row"], ascending=[False, True]), []
+        for size in group["size"].tolist():
+            room, j = heap[0]
+            shards.append(j)
+            heapq.heapreplace(heap, (room + size, j))
+        return group[["name", "row"]].assign(shard=pd.Series(shards, group.index, "int32"))
+
+    return rows.groupBy("name").applyInPandas(deal, "name string, row long, shard int")
+
+
+def reshard(spark: SparkSession, path: str, new: str, shards: int = 8, capacities: list[int] | None = None, doc_id_type: str = "long") -> tuple[Plan, DataFrame]:
+    """Rewrite what has to move of the layout at path under new; returns the plan and the manifest: path, name and folder of each file, shard, rows and first slot."""
+    done = plan(files_of(spark, path), shards, capacities)
+    if done.move:
+        moves = spark.createDataFrame([(f.name, to) for f, to in done.move], "name string, shard int")
+        rows = _read(spark, [f"{path}/{f.name}" for f, _ in done.move], doc_id_type)
+        rows = rows.withColumn("name", _file(F.col("_metadata.file_path"))).join(F.broadcast(moves), "name").drop("name")  # a row for each file
+        rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{new}/moved")
+    if done.cut:
+        rows = _read(spark, [f"{path}/{f.name}" for f, _ in done.cut], doc_id_type)
+        rows = rows.withColumns({"name": _file(F.col("_metadata.file_path")), "row": F.col("_metadata.row_index")})
+        deal = written(_dealt(rows.select("name", "row", "size"), {f.name: parts for f, parts in done.cut}), "deal")
+        rows.join(deal, ["name", "row"]).drop("name", "row").write.option("compression", "zstd").partitionBy("shard").parquet(f"{new}/cut")
+        drop(deal)
+    files = [(path, f) for f in done.stay]
+    for folder, some in ((f"{new}/moved", done.move), (f"{new}/cut", done.cut)):
+        files += [(folder, f) for f in files_of(spark, folder)] if some else []
+    slots = [0] * shards
+    rows = []
+    for folder, f in sorted(files, key=lambda x: (x[1].shard, x[0], x[1].name)):
+        rows.append((folder, f.name, f.shard, f.rows, slots[f.shard]))
+        slots[f.shard] += f.rows
+    return done, spark.createDataFrame(rows, "folder string, name string, shard int, rows long, first_slot long")
+
+
+def read_shards(manifest: DataFrame, doc_id_type: str = "long") -> DataFrame:
+    """doc_id, text, size, shard, slot (the place in the shard, from 0) of the layout that a manifest lists."""
+    spark = manifest.sparkSession
+    paths = [f"{r['folder']}/{r['name']}" for r in manifest.select("folder", "name").collect()]
+    if not paths:
+        return spark.createDataFrame([], f"doc_id {doc_id_type}, text string, size long, shard int, slot long")
+    rows = _read(spark, paths, doc_id_type).withColumns({"__path": _tail(F.col("_metadata.file_path")), "__row": F.col("_metadata.row_index")})
+    listed = manifest.select(_tail(F.concat_ws("/", "folder", "name")).alias("__path"), "shard", "first_slot")
+    # A row for each file, as in Spark's own list of them.
+    return rows.join(F.broadcast(listed), "__path").select("doc_id", "text", "size", "shard", (F.col("first_slot") + F.col("__row")).alias("slot"))
+
+
+def _tail(path: Column) -> Column:
+    """The last four parts of a path, which tell files apart whatever scheme the path is written with."""
+    return F.array_join(F.slice(F.split(path, "/"), -4, 4), "/")
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """The columns of the query, from shard files written to the shared folder; the old shard of a document is decided by its source."""
-    spark = documents.sparkSession
+    """The columns of the query: documents laid out by source, resharded to eight equal shards, and read back from the new layout."""
+    spark, kind = documents.sparkSession, documents.schema["doc_id"].dataType.simpleString()
     path = new_path(spark, "shards")
-    old = F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % 8
-    reshard(documents, path, old)
+    write_layout(documents, f"{path}/old", F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % 8)
+    _, manifest = reshard(spark, f"{path}/old", f"{path}/new", doc_id_type=kind)
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    return read_shards(spark, path, documents.schema["doc_id"].dataType.simpleString()).select(
-        "doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("bytes").alias("law"),
-        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    return read_shards(manifest, kind).select(
+        "doc_id", "size", F.crc32(raw).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
