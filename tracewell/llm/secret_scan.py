@@ -1,159 +1,249 @@
 """Secrets in texts: fixed patterns, and strings that pass for random ones.
 
-Everything is DataFrame expressions.  Besides the three pattern kinds, unbroken
-strings of 20 and more letters, digits and + / _ - are candidates if their characters
-fit an encoding (hexadecimal, base 32, base 64).  A battery tests each against
-"drawn at random from that alphabet": chi-squared uniformity of the alphabet's
-counts, the number of runs above and below the alphabet's middle, and the lag-1 serial
-correlation; the least of the three p-values, times three, counts.  Identifiers, paths
-and words fail; keys pass.
-
-With many candidates some real keys look uneven by chance.  So tests are judged
-together for each encoding and length band (short strings carry less evidence and
-are numerous): the Benjamini-Hochberg rule rejects randomness so that of the
-candidates dismissed as no secret at most a share q are real ones.  p-values are
-counted in a fixed number of bins, so the rule takes one aggregation whatever the
-number of candidates, and its outcome is a threshold for each band.
+Everything is DataFrame expressions.  Unbroken runs of 20 and more letters, digits and
++ / _ - are looked for once in a text; keys of fixed form and hexadecimal strings lie in
+them.  The other runs are candidates if their characters fit an encoding (hexadecimal,
+base 32, 36, 62 or 64, or letters of both cases).  Two questions are asked of each:
+
+Does it look random?  A battery tests "drawn at random from that alphabet": chi-squared
+uniformity of the alphabet's counts, the number of runs above and below the alphabet's
+middle, and the lag-1 serial correlation; three times the least p-value must be LEVEL at
+least, so that of random strings a share of LEVEL is dismissed.  Short strings of any
+kind pass, as the battery has little power there.
+
+Is there evidence that it is no ordinary string?  A name, path or number keeps to a kind
+of character (lower case, capitals, digits, marks) at a share STAY of its places, and its
+letters are as frequent as in English.  The ratio of a string's probability among random
+ones to that among ordinary ones is 1 at most on average over ordinary strings (an
+e-value), whatever its length; so short strings seldom reach much.  Ratios are judged
+together for each encoding and length band by the Benjamini-Hochberg rule for e-values:
+of m candidates the k largest ratios count if they are m / (q k) at least, so of the
+strings reported at most a share q is expected to be ordinary, however they depend on
+each other.  Ratios are counted in a fixed number of bins, so the rule takes one
+aggregation whatever the number of candidates, and its outcome is a threshold for each band.
 
 Defined results: a null text is read as an empty one; kinds may overlap, but a random
-string that overlaps a pattern's span is left out; repeated rows give repeated equal
-results; other columns are ignored.
+string that overlaps a pattern's span is left out; equal candidates are judged alike, each
+counts; repeated rows, null and repeated doc_ids are rows like others; matches of a very long text
+are placed in runs of WALK; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Leftmost non-overlapping matches; letters of the words in either case (ASCII only).
 _WORDS = ["password", "passwd", "secret", "token", "api_?key"]
 _EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in _WORDS)
-ASSIGN = rf"""(?:{_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_VALUE = "[A-Za-z0-9+/_.=-]"
+ASSIGN = rf"""(?:{_EITHER})["']?\x20*[:=]\x20*["']?({_VALUE}+)"""
+MAY_ASSIGN = rf"""[:=]\x20*["']?{_VALUE}{{6}}"""  # in every text with a match that counts, and found sooner
 ACCESS = "AKIA[A-Z0-9]{16,}"  # a run of 20 and more; a shorter run holds no longer one
 HEX = "[0-9a-f]{24,}"
-CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
+_PART = "[A-Za-z0-9+/_-]"
+RUN = f"(?<!{_PART}){_PART}{{20,}}"  # with all keys of fixed form and hexadecimal strings
 KINDS = ["assign", "access", "hex", "random"]
 
-BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": BASE64}
-LETTERS = {"hex": 16, "base32": 32, "base64": 64}  # + and - share a value, as do / and _
-SHORTEST = {"hex": 32, "base32": 24, "base64": 20}  # the battery has power from here on
-BINS = 400  # of ten a halving of p
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = {
+    "hex": DIGITS + LOWER[:6],
+    "base32": UPPER + DIGITS[2:8],
+    "base36": DIGITS + LOWER,
+    "letters": UPPER + LOWER,
+    "base62": UPPER + LOWER + DIGITS,
+    "base64": UPPER + LOWER + DIGITS + "+/",  # - and _ count as + and /
+}
+#: Letters in 100 of English text, a to z (fixed values, as published).
+FREQUENCY = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074]
+STAY = 0.7
+LEVEL = 0.001
+BINS = 400
+IN_A_DOUBLING = 4  # bins of the ratio
 Q = 0.01
 WALK = 256
+_SPANS = "array<struct<start:int,kind:int,end:int,found:string>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs_of(array: Column) -> Column:
+    """An array cut into arrays of WALK: an array grows by copying, so what is put together one by one stays short."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / WALK).cast("int")), lambda c: F.slice(array, c * WALK + 1, WALK))
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Array of (start, kind, end, found) of a pattern's matches, in code points."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(found)), F.arrays_zip(found.alias("m"), value.alias("v")), lambda p, x: F.struct(F.length(p).alias("gap"), x["m"].alias("m"), x["v"].alias("v")))
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,found:string>>)")
+    zipped = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["m"])
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("found"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    def moved(x: Column, by: Column) -> Column:
-        return F.struct((x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"), x["found"].alias("found"))
-
-    # An array grows by copying, so matches are placed within runs of WALK first and the runs then put after each other.
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    runs = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / WALK).cast("int")), lambda c: F.aggregate(F.slice(all_, c * WALK + 1, WALK), start, step))
-    walked = F.aggregate(
-        F.element_at(F.transform(F.array(zipped), runs), 1),
-        start,
-        lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.transform(x["out"], lambda y: moved(y, acc["at"]))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+        counts = F.length(F.regexp_extract(x["m"], pattern, group)) >= least if least else F.lit(True)
+        return F.struct(end.alias("at"), F.when(counts, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("out"))
+    parts = lambda all_: F.transform(_runs_of(all_), lambda run: F.aggregate(run, start, step))
+    # Places count from each run's start first; the runs are put after each other then.
+    walked = _let(_let(zipped, parts), lambda runs: F.flatten(F.transform(runs, lambda x, i: _moved(x["out"], F.aggregate(F.slice(runs, 1, i), F.lit(0), lambda at, y: at + y["at"])))))
+    return F.when(F.size(found) > 0, walked).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
-def _tail(z: Column) -> Column:
-    """The normal distribution's upper tail beyond |z|, to seven digits (fixed coefficients of a published approximation)."""
-    z = F.abs(z)
-    t = 1 / (1 + 0.2316419 * z)
-    return F.exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+
+def _moved(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct((x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"), x["found"].alias("found")))
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as {_SPANS})")
+
+
+def _assigned(text: Column) -> Column:
+    return F.when(text.rlike(MAY_ASSIGN), _spans(text, ASSIGN, 0, 1, 6)).otherwise(_none())
+
+
+def _found_runs(text: Column) -> Column:
+    return F.when(text.rlike(RUN), _spans(text, RUN, 3)).otherwise(_none())
+
+
+def _inside(runs: Column, pattern: str, kind: int) -> Column:
+    """A pattern's matches in runs."""
+    within = lambda x: F.when(x["found"].rlike(pattern), _moved(_spans(x["found"], pattern, kind), x["start"])).otherwise(_none())
+    return F.flatten(F.transform(runs, within))
 
 
-def _encoding(found: Column) -> Column:
-    mixed = found.rlike("[a-z]") & found.rlike("[A-Z]") & found.rlike("[0-9]")
-    return F.when(found.rlike("^[0-9a-f]*$|^[0-9A-F]*$") & found.rlike("[0-9]") & found.rlike("[a-fA-F]"), "hex").when(found.rlike("^[A-Z2-7]*$") & found.rlike("[2-7]") & found.rlike("[A-Z]"), "base32").when(mixed, "base64")
+def _tail(z: Column) -> Column:
+    """The normal distribution's upper tail beyond |z|, to seven digits (fixed coefficients of a published approximation)."""
+    series = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return _let(F.abs(z), lambda x: F.exp(-x * x / 2) / 2.5066282746310002 * _let(1 / (1 + 0.2316419 * x), series))
+
+
+def encoding(found: Column) -> Column:
+    """The smallest alphabet that a candidate fits; null if it is of one kind of character, or holds a pattern's match."""
+    has = lambda some: found.rlike(f"[{some}]")
+    one_case = found.rlike("^[0-9a-z]*$|^[0-9A-Z]*$") & has("0-9") & has("A-Za-z")
+    mixed = has("a-z") & has("A-Z")
+    return (
+        F.when(found.rlike(ACCESS) | found.rlike(HEX), None)
+        .when(one_case & found.rlike("^[0-9a-fA-F]*$"), "hex")
+        .when(one_case & found.rlike("^[A-Z2-7]*$"), "base32")
+        .when(one_case, "base36")
+        .when(mixed & found.rlike("^[A-Za-z]*$"), "letters")
+        .when(mixed & found.rlike("^[A-Za-z0-9]*$"), "base62")
+        .when(mixed & has("0-9"), "base64")
+    )
 
 
-def _values(found: Column, encoding: str) -> Column:
-    """Each character's value in its alphabet, from 0."""
-    own = F.lower(found) if encoding == "hex" else F.translate(found, "-_", "+/") if encoding == "base64" else found
-    return F.transform(F.filter(F.split(own, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABETS[encoding]), c) - 1)
+def _ratio(found: Column, size: Column) -> Column:
+    """Logarithm to base 2 of a string's probability among random ones over that among ordinary ones."""
+    n = F.length(found).cast("double")
+    changes = F.regexp_count(found, F.lit("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_-])[^+/_-]"))
+    total = sum(FREQUENCY)
+    weights = {c: F.lit(f / total) for c, f in zip(LOWER, FREQUENCY, strict=True)} | {c: F.lit(0.1) for c in DIGITS} | {c: F.lit(0.25) for c in "+/_-"}
+    weight = F.create_map(*[x for c, w in weights.items() for x in (F.lit(c), F.log2(w))])
+    characters = F.aggregate(F.filter(F.split(F.lower(found), ""), lambda c: c != ""), F.lit(0.0), lambda a, c: a + F.element_at(weight, c))
+    ordinary = F.log2(F.lit(0.25)) + (n - 1 - changes) * F.log2(F.lit(STAY)) + changes * F.log2(F.lit((1 - STAY) / 3)) + characters
+    return -n * F.log2(size) - ordinary
 
 
-def _battery(values: Column, size: int) -> Column:
+def _battery(own: Column, alphabet: str) -> Column:
     """Three times the least p-value of the tests, at most 1."""
-    n = F.size(values).cast("double")
-    square = F.aggregate(F.transform(F.array(*[F.lit(k) for k in range(size)]), lambda k: F.pow(F.size(F.filter(values, lambda v: v == k)).cast("double"), 2)), F.lit(0.0), lambda a, b: a + b)
-    chi, free = square * size / n - n, float(size - 1)
+    n, size = F.length(own).cast("double"), len(alphabet)
+    letters = F.split(F.lit(alphabet), "")
+    square = F.aggregate(letters, F.lit(0.0), lambda a, c: a + F.when(c != "", F.pow(n - F.length(F.replace(own, c, F.lit(""))), F.lit(2.0))).otherwise(0.0))
+    free = float(size - 1)
+    chi = square * size / n - n
     # With few characters for each letter the statistic varies less than its limit: scale it to the same variance.
     scaled = free + (chi - free) / F.sqrt((n - 1) / n)
     cube = (F.pow(F.greatest(scaled, F.lit(0.0)) / free, 1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5
-    p_chi = F.when(cube >= 0, _tail(cube)).otherwise(1 - _tail(cube))
-    pairs = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
-    half = size / 2
-    runs = F.aggregate(pairs, F.lit(1.0), lambda s, x: s + F.when((x["a"] < half) != (x["b"] < half), 1.0).otherwise(0.0))
-    high = F.size(F.filter(values, lambda v: v >= half)).cast("double")
-    mean = 2 * high * (n - high) / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = F.when(spread > 0, 2 * _tail((F.abs(runs - mean) - 0.5) / F.sqrt(spread))).otherwise(0.0)
+    p_chi = _let(cube, lambda z: F.when(z >= 0, _tail(z)).otherwise(1 - _tail(z)))
+    halves = F.translate(own, alphabet, "l" * (size // 2) + "h" * (size - size // 2))
+    counts = _let(halves, lambda x: F.struct((F.regexp_count(x, F.lit("(?<=l)h|(?<=h)l")) + 1.0).alias("runs"), F.length(F.replace(x, F.lit("l"), F.lit(""))).cast("double").alias("high")))
+
+    def p_of_runs(x: Column) -> Column:
+        mean = 2 * x["high"] * (n - x["high"]) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        return F.when(spread > 0, 2 * _tail((F.abs(x["runs"] - mean) - 0.5) / F.sqrt(spread))).otherwise(0.0)
+
+    p_runs = _let(counts, p_of_runs)
     centre = (size - 1) / 2
-    top = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x["a"] - centre) * (x["b"] - centre))
+    values = F.transform(F.filter(F.split(own, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1 - centre)
+    top = _let(values, lambda v: F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
     p_serial = 2 * _tail(top / (((size * size - 1) / 12) * F.sqrt(n - 1)))
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
-def _tested(text: Column) -> Column:
-    """Array of (start, kind, end, band, p) of the candidates that fit an encoding and are long enough."""
+def _per_encoding(name: Column, value: Callable[[str], Column]) -> Column:
+    out = F.lit(None).cast("double")
+    for one in ALPHABETS:
+        out = F.when(name == one, value(one)).otherwise(out)
+    return out
 
-    def test(x: Column) -> Column:
-        encoding, n = _encoding(x["found"]), x["end"] - x["start"]
-        p = F.lit(None).cast("double")
-        for name, size in LETTERS.items():
-            p = F.when((encoding == name) & (n >= SHORTEST[name]), _battery(_values(x["found"], name), size)).otherwise(p)
-        band = F.concat(encoding, F.lit(":"), F.floor(F.log2(n.cast("double")) * 2).cast("string"))
-        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), band.alias("band"), p.alias("p"))
 
-    return F.filter(F.transform(_spans(text, CANDIDATE, 3), test), lambda x: x["p"].isNotNull())
+def random_p(found: Column, name: Column) -> Column:
+    """The battery's p of a candidate in its encoding."""
+    own = {"hex": F.lower(found), "base36": F.lower(found), "base64": F.translate(found, "-_", "+/")}
+    return _per_encoding(name, lambda one: _battery(own.get(one, found), ALPHABETS[one]))
 
 
-def _bin(p: Column) -> Column:
-    return F.least(F.lit(BINS), F.floor(-10 * F.log2(F.greatest(p, F.lit(1e-300))))).cast("int")
+def evidence(found: Column, name: Column) -> Column:
+    """The bin of a candidate's ratio, 0 for all up to 1."""
+    size = _per_encoding(name, lambda one: F.lit(float(len(ALPHABETS[one]))))
+    return F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(IN_A_DOUBLING * _ratio(found, size)))).cast("int")
+
+
+def band(found: Column, name: Column) -> Column:
+    return F.concat(name, F.lit(":"), F.floor(F.log2(F.length(found).cast("double")) * 2).cast("string"))
 
 
 def thresholds(documents: DataFrame, text: str = "text", q: float = Q) -> dict[str, int]:
-    """For each band the least bin of p whose strings are not random, over all documents; bands where none is are left out.
+    """For each band the least bin of the ratio whose strings are reported, over all documents; bands where none is are left out.
 
-    The bands are three encodings times half powers of two of the length, so this is a few dozen rows.
+    The bands are six encodings times half powers of two of the length, so this is a few dozen rows.
     """
-    texts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    one = texts.where(F.col("text").rlike(CANDIDATE)).select(F.explode(_tested(F.col("text"))).alias("x"))
-    bins = one.groupBy(F.col("x.band").alias("band"), _bin(F.col("x.p")).alias("bin")).agg(F.count("*").alias("n"))
-    band = Window.partitionBy("band")
-    below = F.sum("n").over(band.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = bins.select("band", "bin", below.alias("rank"), F.sum("n").over(band).alias("m"))
-    good = ranked.where(F.pow(F.lit(2.0), -F.col("bin") / 10) <= F.col("rank") * q / F.col("m"))
+    texts = documents.select(F.col(text).alias("text")).where(F.col("text").rlike(RUN))
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("found"))
+    named = found.withColumn("name", encoding(F.col("found"))).where("name is not null")
+    # Strings that the battery dismisses count among the candidates, with no evidence.
+    bin_ = F.when(random_p(F.col("found"), F.col("name")) >= LEVEL, evidence(F.col("found"), F.col("name"))).otherwise(0)
+    bins = named.select(band(F.col("found"), F.col("name")).alias("band"), bin_.alias("bin")).groupBy("band", "bin").agg(F.count("*").alias("n"))
+    one = Window.partitionBy("band")
+    above = F.sum("n").over(one.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = bins.select("band", "bin", above.alias("rank"), F.sum("n").over(one).alias("m"))
+    good = ranked.where(F.pow(F.lit(2.0), F.col("bin") / IN_A_DOUBLING) >= F.col("m") / (q * F.col("rank")))
     return {r["band"]: r["bin"] for r in good.groupBy("band").agg(F.min("bin").alias("bin")).collect()}
 
 
+def _overlaps(sorted_: Column, x: Column) -> Column:
+    """Whether one of some sorted spans, none of which overlap, overlaps x: the last that starts before its end, found by halving."""
+    half = lambda s: F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] < s["hi"], F.when(F.element_at(sorted_, half(s))["start"] < x["end"], F.struct(half(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (half(s) - 1).alias("hi")))).otherwise(s)
+    last = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_) + 1.0)).cast("int")), F.struct(F.lit(0).alias("lo"), F.size(sorted_).alias("hi")), step)["lo"]
+    return (F.size(sorted_) > 0) & _let(last, lambda k: F.when(k > 0, F.element_at(sorted_, F.greatest(k, F.lit(1)))["end"] > x["start"]).otherwise(False))
+
+
 def with_spans(documents: DataFrame, limits: dict[str, int], text: str = "text", spans: str = "spans") -> DataFrame:
     """The documents with a column more: spans (start, kind, end), by start and then kind's number in KINDS; ends are exclusive."""
     own = F.coalesce(F.col(text), F.lit(""))
-    bare = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
-    base = F.transform(F.concat(_spans(own, ASSIGN, 0, 1, 6), _spans(own, ACCESS, 1), _spans(own, HEX, 2)), bare)
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<string,int>")
-    random = F.filter(_tested(own), lambda x: _bin(x["p"]) < F.coalesce(F.element_at(limit, x["band"]), F.lit(BINS + 1)))
-    found = documents.withColumn("__base", base).withColumn("__random", F.transform(random, bare))
-    free = F.filter("__random", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.withColumn(spans, F.array_sort(F.concat("__base", free))).drop("__base", "__random")
+
+    def reported(x: Column) -> Column:
+        found = x["found"]
+        passes = lambda name: F.when(name.isNull(), False).when(evidence(found, name) < F.coalesce(F.element_at(limit, band(found, name)), F.lit(BINS + 1)), False).otherwise(random_p(found, name) >= LEVEL)
+        return _let(encoding(found), passes)
+
+    def every(s: Column) -> Column:
+        random = F.filter(s["runs"], lambda x: reported(x) & ~_overlaps(s["assigned"], x))
+        all_ = F.concat(s["assigned"], _inside(s["runs"], ACCESS, 1), _inside(s["runs"], HEX, 2), random)
+        return F.array_sort(F.transform(all_, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+
+    return documents.withColumn(spans, _let(F.struct(_assigned(own).alias("assigned"), _found_runs(own).alias("runs")), every))
 
 
 def joined(spans: Column) -> Column:
@@ -174,12 +264,25 @@ def digest(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def redacted(text: Column, spans: Column, sign: str = "[secret]") -> Column:
-    """The text with each span, or chain of overlapping spans, replaced by the sign."""
+    """The text with each span, or chain of overlapping spans, replaced by the sign.
+
+    What stays is cut out of the text for runs of WALK spans first, and then for each span out of its run's part.
+    """
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit(sign))).otherwise(acc["out"]).alias("out"))
+        kept = F.struct(acc["at"].alias("a"), x["start"].alias("b"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(kept))).otherwise(acc["out"]).alias("out"))
+
+    def cut(runs: Column) -> Column:
+        ends = F.transform(runs, lambda run: F.array_max(F.transform(run, lambda x: x["end"])))
+        none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+
+        def pieces(run: Column, ends: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.array_max(F.slice(ends, 1, F.greatest(i, F.lit(1))))).otherwise(0)
+            kept = F.aggregate(run, F.struct(before.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+            part = F.substring(text, before + 1, F.greatest(F.lit(0), F.element_at(ends, i + 1) - before))
+            return _let(F.struct(kept.alias("kept"), part.alias("part"), before.alias("before")), lambda s: F.transform(s["kept"], lambda r: F.substring(s["part"], r["a"] - s["before"] + 1, r["b"] - r["a"])))
+
+        return _let(ends, lambda e: F.concat(F.flatten(F.transform(runs, lambda run, i: pieces(run, e, i))), F.array(F.substring(text, F.array_max(e) + 1, F.length(text)))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    return F.when(F.size(spans) > 0, F.array_join(_let(_runs_of(spans), cut), sign)).otherwise(text)
