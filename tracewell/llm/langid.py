@@ -10,7 +10,8 @@ documents, which are summed before they are shuffled.
 
 Defined results: a null text, one without letters, or any text when nothing could be
 learned is `und` with score 0; equal cosines go to the language first in order;
-repeated rows give repeated equal results; a null doc_id is not held out.
+repeated rows give repeated equal results; a null doc_id is not held out; a very long text is
+a chunk of its own; an empty table gives no rows; more than MOST_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ DIMENSIONS = 1024
 ALPHABET = 48  # a word border, a to z, and 21 classes of other letters
 GRAMS = ALPHABET**3
 FLUSH_LANGUAGES = 64
+MOST_LANGUAGES = 4096  # 8 KB each on the driver and in a broadcast
+ENOUGH = 20  # texts of a length to tell what is typical of it
 
 
 @functools.cache
@@ -126,7 +129,9 @@ def learn(documents: DataFrame, lang: str = "lang", text: str = "text") -> tuple
         group = group.sort_values("gram")
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "vector": [bundle(group["gram"].to_numpy(), group["n"].to_numpy())]})
 
-    made = counted.groupBy("lang").applyInPandas(sum_up, "lang string, vector array<double>").orderBy("lang").collect()  # one row a language
+    made = counted.groupBy("lang").applyInPandas(sum_up, "lang string, vector array<double>").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()  # one row a language
+    if len(made) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     matrix = np.array([r["vector"] for r in made], np.float64).reshape(len(made), DIMENSIONS)
     return [r["lang"] for r in made], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
@@ -156,6 +161,40 @@ def identify(documents: DataFrame, languages: list[str], profiles: np.ndarray, t
     return map_texts(documents, run, schema)
 
 
+def length_band(text: Column) -> Column:
+    """Half to whole powers of two of a text's length."""
+    return F.floor(F.log2(F.coalesce(F.length(text), F.lit(0)) + 1.0)).cast("int")
+
+
+def least_scores(documents: DataFrame, languages: list[str], profiles: np.ndarray, share: float = 1 / 3, lang: str = "lang", text: str = "text") -> list[float]:
+    """For each length band the score under which a text is in none of the languages: a share of the median score of the band's documents that have a language, all of which count.
+
+    Short texts are less like their language than long ones, so the bound rises with the length.  A band with fewer than ENOUGH
+    documents takes the bound of the next shorter one that has enough, or 0.
+    """
+    texts = documents.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"))
+    scored = identify(texts, languages, profiles).where("lang_pred <> 'und'").groupBy(length_band(F.col("text")).alias("band"))
+    typical = {r["band"]: r["typical"] for r in scored.agg(F.count("*").alias("n"), F.percentile_approx("score", 0.5, 10_000).alias("typical")).where(f"n >= {ENOUGH}").collect()}  # at most 32 rows
+    out, bound = [], 0.0
+    for band in range(32):
+        bound = typical[band] * share if band in typical else bound
+        out.append(bound)
+    return out
+
+
+def in_a_language(documents: DataFrame, languages: list[str], profiles: np.ndarray, least: list[float], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that are in some language, columns as they are; where lang is null it is the predicted one."""
+    names = {"pred": "pred", "score": "score"}
+    for key in names:
+        while names[key] in documents.columns:
+            names[key] += "_"
+    bounds = F.array(*[F.lit(x) for x in least])
+    found = identify(documents, languages, profiles, text, names["pred"], names["score"])
+    found = found.where((F.col(names["pred"]) != "und") & (F.col(names["score"]) >= F.element_at(bounds, length_band(F.col(text)) + 1)))
+    kind = documents.schema[lang].dataType
+    return found.withColumn(lang, F.coalesce(F.col(lang), F.col(names["pred"]).cast(kind))).select(documents.columns)
+
+
 def cross_checked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The columns of the query: learns from the documents that are not held out and predicts all."""
     languages, profiles = learn(documents.where(~held_out(F.col(doc_id))), lang, text)

@@ -64,6 +64,7 @@ BINS = 400
 IN_A_DOUBLING = 4  # bins of the ratio
 Q = 0.01
 WALK = 256
+BETWEEN = "(?<=.)(?=.)"  # characters of a string without line ends
 _SPANS = "array<struct<start:int,kind:int,end:int,found:string>>"
 
 
@@ -147,23 +148,22 @@ def _ratio(found: Column, size: Column) -> Column:
     total = sum(FREQUENCY)
     weights = {c: F.lit(f / total) for c, f in zip(LOWER, FREQUENCY, strict=True)} | {c: F.lit(0.1) for c in DIGITS} | {c: F.lit(0.25) for c in "+/_-"}
     weight = F.create_map(*[x for c, w in weights.items() for x in (F.lit(c), F.log2(w))])
-    characters = F.aggregate(F.filter(F.split(F.lower(found), ""), lambda c: c != ""), F.lit(0.0), lambda a, c: a + F.element_at(weight, c))
+    characters = F.aggregate(F.split(F.lower(found), BETWEEN), F.lit(0.0), lambda a, c: a + F.element_at(weight, c))
     ordinary = F.log2(F.lit(0.25)) + (n - 1 - changes) * F.log2(F.lit(STAY)) + changes * F.log2(F.lit((1 - STAY) / 3)) + characters
     return -n * F.log2(size) - ordinary
 
 
-def _battery(own: Column, alphabet: str) -> Column:
-    """Three times the least p-value of the tests, at most 1."""
-    n, size = F.length(own).cast("double"), len(alphabet)
-    letters = F.split(F.lit(alphabet), "")
-    square = F.aggregate(letters, F.lit(0.0), lambda a, c: a + F.when(c != "", F.pow(n - F.length(F.replace(own, c, F.lit(""))), F.lit(2.0))).otherwise(0.0))
-    free = float(size - 1)
+def _battery(own: Column, alphabet: Column, n: Column, size: Column) -> Column:
+    """Three times the least p-value of the tests, at most 1, for a string of n characters out of an alphabet of that size."""
+    square = F.aggregate(F.split(alphabet, BETWEEN), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(own, c, F.lit(""))), F.lit(2.0)))
+    free = size - 1
     chi = square * size / n - n
     # With few characters for each letter the statistic varies less than its limit: scale it to the same variance.
     scaled = free + (chi - free) / F.sqrt((n - 1) / n)
-    cube = (F.pow(F.greatest(scaled, F.lit(0.0)) / free, 1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5
+    cube = (F.pow(F.greatest(scaled, F.lit(0.0)) / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     p_chi = _let(cube, lambda z: F.when(z >= 0, _tail(z)).otherwise(1 - _tail(z)))
-    halves = F.translate(own, alphabet, "l" * (size // 2) + "h" * (size - size // 2))
+    middle = (size / 2).cast("int")
+    halves = F.call_function("translate", own, alphabet, F.concat(F.repeat(F.lit("l"), middle), F.repeat(F.lit("h"), middle)))
     counts = _let(halves, lambda x: F.struct((F.regexp_count(x, F.lit("(?<=l)h|(?<=h)l")) + 1.0).alias("runs"), F.length(F.replace(x, F.lit("l"), F.lit(""))).cast("double").alias("high")))
 
     def p_of_runs(x: Column) -> Column:
@@ -173,29 +173,27 @@ def _battery(own: Column, alphabet: str) -> Column:
 
     p_runs = _let(counts, p_of_runs)
     centre = (size - 1) / 2
-    values = F.transform(F.filter(F.split(own, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1 - centre)
+    values = F.transform(F.split(own, BETWEEN), lambda c: F.call_function("instr", alphabet, c) - 1 - centre)
     top = _let(values, lambda v: F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
     p_serial = 2 * _tail(top / (((size * size - 1) / 12) * F.sqrt(n - 1)))
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
-def _per_encoding(name: Column, value: Callable[[str], Column]) -> Column:
-    out = F.lit(None).cast("double")
-    for one in ALPHABETS:
-        out = F.when(name == one, value(one)).otherwise(out)
-    return out
+def _of(name: Column, values: dict[str, str | float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), name)
 
 
 def random_p(found: Column, name: Column) -> Column:
     """The battery's p of a candidate in its encoding."""
-    own = {"hex": F.lower(found), "base36": F.lower(found), "base64": F.translate(found, "-_", "+/")}
-    return _per_encoding(name, lambda one: _battery(own.get(one, found), ALPHABETS[one]))
+    own = F.when(name.isin("hex", "base36"), F.lower(found)).when(name == "base64", F.translate(found, "-_", "+/")).otherwise(found)
+    given = F.struct(own.alias("own"), _of(name, ALPHABETS).alias("alphabet"), F.length(found).cast("double").alias("n"))
+    return _let(given, lambda x: _battery(x["own"], x["alphabet"], x["n"], F.length(x["alphabet"]).cast("double")))
 
 
 def evidence(found: Column, name: Column) -> Column:
     """The bin of a candidate's ratio, 0 for all up to 1."""
-    size = _per_encoding(name, lambda one: F.lit(float(len(ALPHABETS[one]))))
-    return F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(IN_A_DOUBLING * _ratio(found, size)))).cast("int")
+    ratio = _ratio(found, _of(name, {k: float(len(a)) for k, a in ALPHABETS.items()}))
+    return F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(IN_A_DOUBLING * ratio))).cast("int")
 
 
 def band(found: Column, name: Column) -> Column:
@@ -286,3 +284,13 @@ def redacted(text: Column, spans: Column, sign: str = "[secret]") -> Column:
         return _let(ends, lambda e: F.concat(F.flatten(F.transform(runs, lambda run, i: pieces(run, e, i))), F.array(F.substring(text, F.array_max(e) + 1, F.length(text)))))
 
     return F.when(F.size(spans) > 0, F.array_join(_let(_runs_of(spans), cut), sign)).otherwise(text)
+
+
+def without_secrets(documents: DataFrame, limits: dict[str, int], text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The documents, columns as they are, with a sign in place of each secret; their length follows the text."""
+    spans = "spans"
+    while spans in documents.columns:
+        spans += "_"
+    found = with_spans(documents, limits, text, spans).withColumn(text, redacted(F.col(text), F.col(spans)))
+    kind = documents.schema[length].dataType
+    return found.withColumn(length, F.when(F.size(spans) > 0, F.length(text).cast(kind)).otherwise(F.col(length))).select(documents.columns)

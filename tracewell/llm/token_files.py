@@ -1,7 +1,8 @@
 """Token-id files: Parquet with a delta-encoded list column, in ascending order of doc_id.
 
 Rows: doc_id, part, part_start (ids before the document within its part), n_tokens and
-ids.  Documents are dealt to parts by ranges of doc_id and sorted within them, so parts
+ids.  Documents are dealt to parts by ranges of doc_id, then a hash of the text and the place in
+the input (so that rows of one id, or equal rows, are no single task's), and sorted within them, so parts
 follow each other.  Ids are written with the DELTA_BINARY_PACKED encoding (dictionaries are
 off for them, page version 2), in row groups and pages of set sizes with page indexes:
 a reader of single documents or of the counts alone skips the pages of all other ids.
@@ -9,8 +10,8 @@ A document's global start is its part's start plus part_start; parts' totals are
 from the metadata columns alone.
 
 Defined results: a null text is read as an empty one and has the end id alone; null
-doc_ids come first; rows that repeat a doc_id follow each other in order of text;
-other columns are ignored.
+doc_ids come first; rows that repeat a doc_id follow each other in order of the text's hash;
+a very long text is encoded as a chunk of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,8 +106,9 @@ def write_token_files(documents: DataFrame, path: str, doc_id: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = map_texts(ordered, run, f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
+    keyed, order = docs.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}), ["doc_id", "hash", "place"]
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    encoded = map_texts(ordered.select("doc_id", "text"), run, f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
     encoded.write.options(**OPTIONS).parquet(path)
 
 
@@ -120,6 +122,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
+def token_counts_of(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id and n_tokens of all documents, from these columns' pages alone."""
+    return spark.read.parquet(path).select("doc_id", "n_tokens")
+
+
+def tokens_of(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
+    """doc_id, n_tokens and ids of some documents (a stated list); only the pages that may hold them are read."""
+    return spark.read.parquet(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
 def checksums(tokens: DataFrame) -> DataFrame:
     """The columns of the query: doc_id, start, n_tokens, and crc32 of the ids as little-endian 32-bit integers."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
