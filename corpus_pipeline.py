@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, decontam, langid, near_dedup, secret_scan
 from tracewell.llm.store import written
 
-#: A text whose trigrams are this unlike every language's is in none of them: unrelated vectors differ from a right angle by 1 / sqrt(dimensions), 0.03.
-#: Texts of a single known word lie above it.
-LEAST_COSINE = 0.03
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters or unlike all languages go."""
-    languages, profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.identify(docs, languages, profiles, pred="__lang", score="__score")
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_COSINE)).drop("__lang", "__score")
+    """Documents in a known language, with the predicted one where lang is null; those without letters go, and those less than a third
+    as like any language as documents of their length are in the median."""
+    learning = docs.where(~langid.held_out(F.col("doc_id")))
+    languages, profiles = langid.learn(learning)
+    return langid.in_a_language(docs, languages, profiles, langid.least_scores(learning, languages, profiles))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +35,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a sign in place of each secret; n_chars follows the text."""
-    found = secret_scan.with_spans(docs, secret_scan.thresholds(docs), spans="__spans")
-    texts = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("__spans")))
-    return texts.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__spans")
+    return secret_scan.without_secrets(docs, secret_scan.thresholds(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
