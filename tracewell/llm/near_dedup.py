@@ -353,7 +353,8 @@ def one_of_each(
     own = documents.withColumns({"__id": F.col(doc_id), "__hash": F.xxhash64(text)}).alias("d")
 
     def joined(rows: DataFrame, how: str) -> DataFrame:
-        return own.join(rows.alias("r"), F.col("d.__id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.__hash") == F.col("r.text_hash")), how)
+        # Decided rows grow with the documents, so they are never broadcast.
+        return own.hint("merge").join(rows.alias("r").hint("merge"), F.col("d.__id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.__hash") == F.col("r.text_hash")), how)
 
     kept = joined(decided, "left_anti").select([F.col(f"d.`{c}`") for c in given])
     repeated = decided.where("stays")

@@ -28,10 +28,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(frame: DataFrame, name: str, **options: str) -> DataFrame:
-    """The frame, written as Parquet into the shared folder and read again: its lineage ends there, and any executor can read it."""
-    spark = frame.sparkSession
-    path = new_path(spark, name)
-    frame.write.options(**options).parquet(path)
+    """The frame, written as Parquet into the shared folder and read again: its lineage ends there, and any executor can read it.
+
+    Shuffle files of the frame, which nothing else reads, are deleted after it.
+    """
+    spark, key = frame.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = new_path(spark, name), spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        frame.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -163,13 +163,13 @@ def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                 yield pa.RecordBatch.from_arrays([pa.array(digests(places, places + ANCHOR, 1).view(np.int64))], names=["digest"])
 
     first = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("text_hash") == F.col("keep_hash"))
-    units = _written(map_texts(docs, run, f"doc_id {kind}, {_PLACE}"), "passages")
-    repeated = _written(_repeated(units), "repeated")
-    again = _written(units.join(repeated, "digest").where(~(first & (F.col("word") == F.col("keep_word")))).drop("digest", "keep_hash", "keep_word"), "again")
+    units = written(map_texts(docs, run, f"doc_id {kind}, {_PLACE}"), "passages")
+    repeated = written(_repeated(units), "repeated")
+    again = written(units.join(repeated, "digest").where(~(first & (F.col("word") == F.col("keep_word")))).drop("digest", "keep_hash", "keep_word"), "again")
     drop(units)
     drop(repeated)
     twice = map_texts(docs.select("text"), choose, "digest long").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(_written(twice, "choices")))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(written(twice, "choices")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +181,8 @@ def find_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                 starts = starts[shared.value[place >> U(6)] >> (place & U(63)) & U(1) == 1]
                 yield _located(part, words, starts, starts + WINDOW, digests(starts, starts + WINDOW, 2))
 
-    runs = _written(map_texts(docs, compare, f"doc_id {kind}, {_PLACE}"), "windows")
-    alike = _written(_repeated(runs), "alike")
+    runs = written(map_texts(docs, compare, f"doc_id {kind}, {_PLACE}"), "windows")
+    alike = written(_repeated(runs), "alike")
     again = again.unionByName(runs.join(alike, "digest").where(~(first & (F.col("word") < F.col("keep_word") + WINDOW))).drop("digest", "keep_hash", "keep_word"))
     span = F.struct("start", "end", "word", (F.col("word") + F.col("words")).alias("to"))
     by_doc = again.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("keep_doc")).alias("from_docs"))
@@ -213,17 +213,6 @@ def _located(part: pa.RecordBatch, words: Words, starts: np.ndarray, to: np.ndar
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "digest", "word", "words", "start", "end"])
 
 
-def _written(frame: DataFrame, name: str) -> DataFrame:
-    """written(), with the shuffle files of the frame, which nothing else reads, deleted after it."""
-    conf, key = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return written(frame, name)
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
-
-
 def _repeated(places: DataFrame) -> DataFrame:
     """Digests of more places than one, with the first of them."""
     place = F.struct("doc_id", "text_hash", "word")
