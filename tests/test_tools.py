@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from tracewell.operators import events as ops
 from tracewell.plans.tools import Sessions, ToolError, answer
 from tracewell.sources.codec import Writer
 from tracewell.sources.ingest import BuildLogSource, read_logs
@@ -55,7 +56,7 @@ def test_diagnostics(tools):
 
 
 def test_tree_and_timeline(tools):
-    assert tools("project_tree") == "Project tree (1 projects):\n\nProject: app.csproj\n  Project ID: 7\n  Requested targets: Build\n  Target: Compile (1 tasks)\n    Task: Csc\n\n"
+    assert tools("project_tree") == "Project tree (1 projects):\n\nProject: app.csproj\n  Project ID: 7\n  Requested targets: Build\n  Context: project_context_id=5\n  Target: Compile (1 tasks)\n    Task: Csc\n\n"
     line = "Project: app.csproj (context_id=5)\n  Target: Compile [ok]\n    Task: Csc [FAILED]\n\n"
     assert tools("task_timeline") == line and tools("task_timeline", project_context_id=5, project="none") == line
     assert tools("task_timeline", project="none") == "No projects matched the filter."
@@ -81,12 +82,44 @@ def test_properties_and_items(tools):
 
 
 def test_error_context(tools):
-    assert tools("error_context", index=4, radius=1) == "Showing events around index 4:\n\n    [3] TaskStarted: task=Csc\n>>> [4] Error: CS1: bad thing\n    [6] TaskFinished: \n"
+    assert tools("error_context", index=4, radius=1) == "Context scope: task (project_context_id=5, target_id=2, task_id=3)\nShowing events around index 4:\n\n    [3] TaskStarted: task=Csc\n>>> [4] Error: CS1: bad thing\n    [6] TaskFinished: \n"
     with pytest.raises(ToolError):
         tools("error_context", index=4, radius=-1)
 
 
+def test_logs_of_equal_names(spark, tmp_path):
+    """A build tool's default name in two folders: two logs in tables, source, stream and tools; one that breaks off stops nothing that skips it."""
+    for name, n in (("a", 2), ("b", 3)):
+        w = Writer()
+        for k in range(n):
+            w.event(9, {"message": f"{name}{k}"}, {"diag_code": name})
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "msbuild.binlog").write_bytes(w.finished())
+    root = str(tmp_path / "in")
+    want = [("a/msbuild.binlog", 0), ("a/msbuild.binlog", 1), ("b/msbuild.binlog", 0), ("b/msbuild.binlog", 1), ("b/msbuild.binlog", 2)]
+    found = lambda frame: sorted(map(tuple, frame.select("log_id", "event_index").collect()))
+    events = read_logs(spark, root)
+    assert found(events) == want and found(ops.errors(events, 1)) == [("a/msbuild.binlog", 0), ("b/msbuild.binlog", 0)]
+    assert sorted(map(tuple, ops.summary(events).select("log_id", "total_events").collect())) == [("a/msbuild.binlog", 2), ("b/msbuild.binlog", 3)]
+    spark.dataSource.register(BuildLogSource)
+    assert found(spark.read.format("buildlog").load(root)) == want
+    sessions = Sessions(spark)
+    sessions.call("binlog_open", {"file": root})
+    with pytest.raises(ToolError, match="several logs"):
+        sessions.call("binlog_error_context", {"session": 1, "index": 1})
+    text = sessions.call("binlog_error_context", {"session": 1, "index": 1, "log": "a/msbuild.binlog"})
+    assert text == "Context scope: index neighborhood\nShowing events around index 1:\n\n    [0] Error: a: a0\n>>> [1] Error: a: a1\n"
+    (tmp_path / "in" / "c.binlog").write_bytes((tmp_path / "in" / "a" / "msbuild.binlog").read_bytes()[:30])
+    assert found(read_logs(spark, root, skip_bad=True)) == want
+    assert [r["log_id"] for r in read_logs(spark, root, "failures", skip_bad=True).collect()] == ["c.binlog"]
+    ingest_arriving(spark, root, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    assert found(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
 def test_feedback(tools, tmp_path):
+    assert tools("feedback", file=str(tmp_path / "f0"), text="t") == f"Feedback appended to {tmp_path / 'f0'}"
+    with pytest.raises(ToolError, match="missing required parameter: text"):
+        tools("feedback", file="x")
     tools("feedback", file=str(tmp_path / "f"), text="t", event_indices=[1, "x", 2])
     assert json.loads((tmp_path / "f").read_text())["event_indices"] == [1, 2]
 

@@ -1,16 +1,16 @@
 """Build logs made from the driver's tables, so that every query runs on decoded logs and has an SQL oracle on the tables.
 
 A: one event for each row of events, dealt to eight logs. B: a build of projects, targets and
-tasks for every tenth customer, its orders and lines, in four logs; b_all: the same for all customers, in forty.
+tasks for the customers, their orders and lines, in forty logs.
 C: an archive and messages for documents, a log for each source.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.codec import Writer
 from ..sources.ingest import decode_logs
 
-A_LOGS, B_LOGS, ALL_LOGS = 8, 4, 40
+A_LOGS, B_LOGS = 8, 40
 EPOCH_TICKS = 621355968000000000
 
 
@@ -44,7 +44,7 @@ def _rows_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _rows_b(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def _rows_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("customer", "orders", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"tracewell_{name}")
     pair = lambda k, v: f"named_struct('key', '{k}', 'value', {v})"
@@ -57,9 +57,8 @@ def _rows_b(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
         "target_name": none, "task_name": none, "succeeded": "cast(null as boolean)",
     }
     big = "9223372036854775807L"
-    chosen = f"cast(c_custkey % {ALL_LOGS} as int) as log_no from tracewell_customer" if every else f"cast(c_custkey div 10 % {B_LOGS} as int) as log_no from tracewell_customer where c_custkey % 10 = 0"
     return spark.sql(f"""
-        with c as (select *, {chosen}),
+        with c as (select *, cast(c_custkey % {B_LOGS} as int) as log_no from tracewell_customer),
         o as (select c.log_no, c.c_custkey, o.* from tracewell_orders o join c on o_custkey = c_custkey),
         l as (select o.log_no, o.c_custkey, l.*, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as task
               from tracewell_lineitem l join o on l_orderkey = o_orderkey),
@@ -132,16 +131,18 @@ _known: dict[tuple, DataFrame] = {}
 def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracewell-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str, table: str = "events") -> DataFrame:
-    """A table of corpus a, b, b_all or c; made and ingested once in an application."""
+    """A table of corpus a, b or c; made and ingested once in an application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _known:
-        made = _logs_c(spark, sf_dir) if name == "c" else encode_events({"a": _rows_a, "b": _rows_b, "b_all": partial(_rows_b, every=True)}[name](spark, sf_dir))
+        made = _logs_c(spark, sf_dir) if name == "c" else encode_events({"a": _rows_a, "b": _rows_b}[name](spark, sf_dir))
         path = _folder(spark)
         made.write.parquet(path)
         _known[key] = spark.read.schema(made.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators import events as ops
-from .corpus import ALL_LOGS, corpus
+from .corpus import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +27,7 @@ with a as (
 """
 _LINE = "code || ' in ' || file || case when line > 0 then '(' || line || case when col > 0 then ',' || col else '' end || ')' else '' end || ': ' || message"
 B = """
-with c as (select *, cast(c_custkey // 10 % 4 as integer) as log_no from customer where c_custkey % 10 = 0),
+with c as (select *, cast(c_custkey % 40 as integer) as log_no from customer),
 o as (select c.log_no, c.c_custkey, o.* from orders o join c on o_custkey = c_custkey),
 l as (select o.log_no, o.c_custkey, l.*, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as task from lineitem l join o on l_orderkey = o_orderkey),
 r as (
@@ -56,16 +56,11 @@ def _a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir, "a")
 
 
-#: Which customers are in corpus b, and in which log; and the same of the corpus of all customers.
-TENTH, EVERY = "cast(c_custkey // 10 % 4 as integer) as log_no from customer where c_custkey % 10 = 0", f"cast(c_custkey % {ALL_LOGS} as integer) as log_no from customer"
-
-
 def query_b(name: str, oracle: str, table: str = "events") -> Callable[[Callable[[DataFrame], DataFrame]], None]:
-    """A query of a table of corpus b (every tenth customer), and with _all after its name the same over the corpus of all customers."""
+    """A query of a table of corpus b."""
 
     def add(f: Callable[[DataFrame], DataFrame]) -> None:
         query(name, oracle)(lambda s, d: f(corpus(s, d, "b", table)))
-        query(f"{name}_all", oracle.replace(TENTH, EVERY))(lambda s, d: f(corpus(s, d, "b_all", table)))
 
     return add
 
@@ -122,8 +117,8 @@ query_b("summary", B + """
 , t as (select log_no, (epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000 as duration_ms from o group by log_no)
 select 'b' || log_no as log_id, 'FAILED' as result, count(*) as total_events, cast(0 as bigint) as errors, cast(0 as bigint) as warnings, any_value(duration_ms) as duration_ms from n join t using (log_no) group by log_no
 """)(lambda e: ops.summary(e))
-query_b("duration", "with c as (select *, cast(c_custkey // 10 % 4 as integer) as log_no from customer where c_custkey % 10 = 0) select 'b' || log_no as log_id, ((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000000) || '.' || lpad(((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000 % 1000)::varchar, 3, '0') as duration from orders join c on o_custkey = c_custkey group by log_no")(
-    lambda e: e.where("kind in (1, 2)").groupBy("log_id").agg((F.max("timestamp_ticks") - F.min("timestamp_ticks")).alias("ticks")).select("log_id", x.seconds(F.col("ticks")).alias("duration"))
+query_b("duration", "with c as (select *, cast(c_custkey % 40 as integer) as log_no from customer) select 'b' || log_no as log_id, ((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000000) || '.' || lpad(((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) // 1000 % 1000)::varchar, 3, '0') as duration from orders join c on o_custkey = c_custkey group by log_no")(
+    lambda e: ops.summary(e).select("log_id", x.seconds(F.col("duration_ms") * 10_000).alias("duration"))
 )
 query_b("distinct_projects", B + "select 'b' || n.log_no as log_id, 'p' || (cust % 40) || '.csproj' as project_file, min(event_index) as first_index from n where kind = 3 group by n.log_no, cust % 40")(lambda e: ops.distinct_projects(e))
 query_b("project_tree", B + """
@@ -171,14 +166,13 @@ _CONTEXT = """
     union all select log_id, event_index, 'task:' || project_context_id || ':' || target_id || ':' || task_id from a where has_context
 ),
 p as (select *, row_number() over (partition by log_id, key order by event_index) as place, count(*) over (partition by log_id, key) as size from s),
-e as (select a.*, t.size as task_size from a left join p t on t.log_id = a.log_id and t.event_index = a.event_index and t.key like 'task:%' where kind = 9 and a.event_index % {every} = 0),
+e as (select a.*, t.size as task_size from a left join p t on t.log_id = a.log_id and t.event_index = a.event_index and t.key like 'task:%' where kind = 9),
 k as (select log_id, event_index as centre, case when not has_context then 'log' when task_id <> 0 and task_size > 1 then 'task' when target_id <> 0 then 'target' when task_id <> 0 or project_context_id <> 0 then 'project' else 'log' end as scope from e)
 select k.log_id, k.centre, k.scope, n.event_index from k join p m on m.log_id = k.log_id and m.event_index = k.centre and split_part(m.key, ':', 1) = k.scope
 join p n on n.log_id = k.log_id and n.key = m.key and n.place between m.place - {radius} and m.place + {radius}
 """
-query("error_context", A + _CONTEXT.format(every=25, radius=3))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9).where("event_index % 25 = 0"), 3))
-query("error_context_all", A + _CONTEXT.format(every=1, radius=2))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9), 2))
-query("error_context_default", A + _CONTEXT.format(every=1, radius=10))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9)))
+query("error_context", A + _CONTEXT.format(radius=3))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9), 3))
+query("error_context_default", A + _CONTEXT.format(radius=10))(lambda s, d: ops.neighbourhood(_a(s, d), ops.of_kind(_a(s, d), 9)))
 query("string_table", A + "select distinct log_id, value from (select log_id, message as value from a union all select log_id, code from a where kind in (9, 10) union all select log_id, file from a where kind in (9, 10) union all select log_id, project_file from a where kind in (9, 10))")(
     lambda s, d: corpus(s, d, "a", "strings").select("log_id", "value")
 )

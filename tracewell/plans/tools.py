@@ -53,7 +53,7 @@ class Sessions:
     def _binlog_open(self, args: dict) -> str:
         path = _text(args, "file")
         if path is None:
-            raise ToolError("missing or invalid 'file' parameter")
+            raise ToolError("missing required parameter: file")
         events = read_logs(self.spark, path).persist()
         version = read_logs(self.spark, path, "logs").first()
         counts = ops.summary(events).first()
@@ -101,12 +101,12 @@ class Sessions:
         return f"Warnings: {head}\n\n" + self._diagnostics(ops.warnings(events, **where))
 
     def _binlog_project_tree(self, args: dict, handle: int, path: str, events: DataFrame) -> str:
-        rows = ops.project_tree(events).orderBy("project_index", "target_index", "task_index").collect()
+        rows = ops.project_tree(events).orderBy("log_id", "project_index", "target_index", "task_index").collect()
         if not rows:
             return "No projects found."
         tree: dict = {}
         for r in rows:
-            project = tree.setdefault(r["project_index"], (r, {}))
+            project = tree.setdefault((r["log_id"], r["project_index"]), (r, {}))
             if r["target_index"] is not None:
                 tasks = project[1].setdefault(r["target_index"], (r["target"], []))[1]
                 if r["task_index"] is not None:
@@ -114,6 +114,7 @@ class Sessions:
         out = f"Project tree ({len(tree)} projects):\n\n"
         for r, targets in tree.values():
             out += f"Project: {r['project']}\n  Project ID: {r['project_id']}\n" + (f"  Requested targets: {r['requested']}\n" if r["requested"] is not None else "")
+            out += f"  Context: project_context_id={r['ctx']}\n" if r["ctx"] is not None else ""
             for target, tasks in targets.values():
                 out += f"  Target: {target}" + (f" ({len(tasks)} tasks)" if tasks else "") + "\n" + "".join(f"    Task: {t}\n" for t in tasks)
             out += "\n"
@@ -131,10 +132,13 @@ class Sessions:
         index = _number(args, "index")
         if index is None or index < 0:
             raise ToolError("missing or invalid 'index' parameter")
-        row = ops.at_index(events, index).first()
-        if row is None:
+        log = _text(args, "log")
+        rows = ops.at_index(events if log is None else events.where(F.col("log_id") == log), index).limit(2).collect()
+        if not rows:
             raise ToolError(f"event index {index} out of range (total events: {events.count()})")
-        return row
+        if len(rows) > 1:
+            raise ToolError(f"several logs have an event {index}: give 'log', such as {rows[0]['log_id']}")
+        return rows[0]
 
     def _binlog_event_detail(self, args: dict, handle: int, path: str, events: DataFrame) -> str:
         r = self._index(args, events)
@@ -224,10 +228,16 @@ class Sessions:
         radius = 10 if radius is None else radius
         if radius < 0:
             raise ToolError("'radius' must not be negative")
-        near = ops.neighbourhood(events, ops.at_index(events, r["event_index"]), radius).select("event_index")
-        rows = events.join(F.broadcast(near), "event_index", "left_semi").orderBy("event_index")  # at most 2 * radius + 1 rows
-        out = f"Showing events around index {r['event_index']}:\n\n"
-        for x in rows.select("event_index", kind_name(F.col("kind")).alias("name"), preview().alias("line")).collect():
+        mine = events.where(F.col("log_id") == r["log_id"])
+        near = ops.neighbourhood(mine, ops.at_index(mine, r["event_index"]), radius).select("event_index", "scope")
+        rows = mine.join(F.broadcast(near), "event_index").orderBy("event_index")  # at most 2 * radius + 1 rows
+        rows = rows.select("event_index", "scope", kind_name(F.col("kind")).alias("name"), preview().alias("line")).collect()
+        ids = [f"{c}={r[c]}" for c in ("project_context_id", "target_id", "task_id")]
+        named = {"project": ids[:1], "target": ids[:2], "task": ids}
+        scope = rows[0]["scope"]
+        out = f"Context scope: {scope} ({', '.join(named[scope])})\n" if scope in named else "Context scope: index neighborhood\n"
+        out += f"Showing events around index {r['event_index']}:\n\n"
+        for x in rows:
             out += f"{'>>>' if x['event_index'] == r['event_index'] else '   '} [{x['event_index']}] {x['name']}: {x['line']}\n"
         return out
 
@@ -250,7 +260,7 @@ class Sessions:
     def _binlog_feedback(self, args: dict, handle: int, path: str, events: DataFrame) -> str:
         file, text = _text(args, "file"), _text(args, "text")
         if file is None or text is None:
-            raise ToolError(f"missing or invalid '{'file' if file is None else 'text'}' parameter")
+            raise ToolError(f"missing required parameter: {'file' if file is None else 'text'}")
         line = {"session": handle, "binlog": path, "text": text}
         if (cause := _text(args, "root_cause")) is not None:
             line["root_cause"] = cause
@@ -258,7 +268,7 @@ class Sessions:
             line["event_indices"] = [i for i in args["event_indices"] if isinstance(i, int) and not isinstance(i, bool)]
         with open(file, "a", encoding="utf-8") as out:
             out.write(json.dumps(line, sort_keys=True, ensure_ascii=False) + "\n")
-        return f"Feedback written to {os.fspath(file)}"
+        return f"Feedback appended to {os.fspath(file)}"
 
 
 #: What each tool does and its arguments: JSON type and meaning; a trailing * marks those that must be given.
@@ -270,10 +280,10 @@ TOOLS: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
     "warnings": ("Warnings with code, place, message and project.", {"code": ("string", "only this code, in either case"), "project": ("string", "only project files with this text in their path"), "limit": ("integer", "most warnings to list")}),
     "project_tree": ("Projects with their targets and tasks.", {}),
     "events": ("Events that meet all conditions, a line for each.", {"kind": ("string", "name of the kind"), "project_context_id": ("integer", "project context"), "target_id": ("integer", "target"), "task_id": ("integer", "task"), "text": ("string", "only messages with this text, in either case"), "limit": ("integer", "most events to list")}),
-    "event_detail": ("All fields of one event.", {"index*": ("integer", "index of the event")}),
+    "event_detail": ("All fields of one event.", {"index*": ("integer", "index of the event"), "log": ("string", "id of the log, where a session has several")}),
     "properties": ("Properties of started projects.", {"project": ("string", "text in the project's path"), "name": ("string", "text in the property's name"), "limit": ("integer", "most properties for each project")}),
     "items": ("Items of started projects with their metadata.", {"project": ("string", "text in the project's path"), "item_type": ("string", "type of the group"), "spec": ("string", "text in the item"), "limit": ("integer", "most items for each group")}),
-    "error_context": ("Events around one event in its task, target, project or log.", {"index*": ("integer", "index of the event"), "radius": ("integer", "events on each side; 10 if absent")}),
+    "error_context": ("Events around one event in its task, target, project or log.", {"index*": ("integer", "index of the event"), "log": ("string", "id of the log, where a session has several"), "radius": ("integer", "events on each side; 10 if absent")}),
     "task_timeline": ("Targets and tasks in order, with their outcome.", {"project_context_id": ("integer", "only this project context"), "project": ("string", "text in the project's path; not used beside a context")}),
     "feedback": ("Append a note on the build to a file, as a line of JSON.", {"file*": ("string", "path of the notes"), "text*": ("string", "the note"), "root_cause": ("string", "cause of the failure"), "event_indices": ("array", "events that the note is about")}),
 }

@@ -2,27 +2,36 @@
 
 A log is one gzip stream with running dictionaries, so it is one task's work; logs are
 decoded side by side, and after that all tables are columnar.
+
+A log's id is its path under the folder that is read (a build tool gives all its logs
+one name, so names tell no logs apart); of a single file, its name.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .codec import Log
+from .codec import Log, LogError
 from .layout import SCHEMAS
 
 BATCH_ROWS = 5000
 
 
 def rows_of(table: str, log_id: str, path: str, content: bytes, strict: bool = False) -> Iterator[dict]:
-    """The rows that a log adds to a table."""
+    """The rows that a log adds to a table; failures has one for a log that can't be opened."""
+    if table == "failures":
+        try:
+            Log(content)
+        except LogError as e:
+            yield {"log_id": log_id, "path": path, "error": str(e)}
+        return
     log = Log(content)
     if table == "events":
         rows = log.events(strict)
@@ -51,22 +60,39 @@ def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def decode_logs(files: DataFrame, table: str = "events", strict: bool = False) -> DataFrame:
-    """A table from files (path, content), as spark.read.format("binaryFile") gives them; a log's id is its path's last part."""
+def log_id(path: str, root: str | None) -> str:
+    """The path under the root, without a scheme; its last part if it is the root, and all of it if it isn't under it."""
+    bare = lambda p: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", p).rstrip("/")
+    path = bare(path)
+    if root is None:
+        return path
+    root = bare(root)
+    return path.rpartition("/")[2] if path == root else path.removeprefix(root + "/")
+
+
+def decode_logs(files: DataFrame, table: str = "events", strict: bool = False, root: str | None = None, skip_bad: bool = False) -> DataFrame:
+    """A table from files (path, content), as spark.read.format("binaryFile") gives them; ids are paths under root.
+
+    A log that can't be opened is an error, or, with skip_bad, has rows in the table `failures` alone.
+    """
     schema = StructType.fromDDL(SCHEMAS[table])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for log_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("log_id", "path", "content")), strict=True):
-                yield from _batches(rows_of(table, log_id, path, content, strict), arrow)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if skip_bad and any(rows_of("failures", "", path, content)):
+                    rows = rows_of("failures", log_id(path, root), path, content) if table == "failures" else iter(())
+                else:
+                    rows = rows_of(table, log_id(path, root), path, content, strict)
+                yield from _batches(rows, arrow)
 
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("log_id"), "path", "content")
-    return named.mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read_logs(spark: SparkSession, path: str, table: str = "events", strict: bool = False) -> DataFrame:
-    return decode_logs(spark.read.format("binaryFile").load(path).select("path", "content"), table, strict)
+def read_logs(spark: SparkSession, path: str, table: str = "events", strict: bool = False, skip_bad: bool = False) -> DataFrame:
+    """A table of a log, or of all logs in a folder and those in it."""
+    return decode_logs(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), table, strict, path, skip_bad)
 
 
 def ingest(events: DataFrame, path: str) -> None:
@@ -107,4 +133,4 @@ class _Reader(DataSourceReader):
         system, _ = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
         with system.open_input_stream(partition.value, compression=None) as file:
             content = file.read()
-        yield from _batches(rows_of(self.table, partition.value.rpartition("/")[2], partition.value, content, self.strict), self.arrow)
+        yield from _batches(rows_of(self.table, log_id(partition.value, self.root), partition.value, content, self.strict), self.arrow)

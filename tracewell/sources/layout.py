@@ -86,6 +86,7 @@ EVENT_SCHEMA = ", ".join(
 )
 SCHEMAS = {
     "events": EVENT_SCHEMA,
+    "failures": "log_id string, path string, error string",
     "logs": "log_id string, path string, file_format_version int, min_reader_version int",
     "strings": "log_id string, string_id int, value string",
     "name_values": "log_id string, nvl_id int, pos int, key string, value string",
