@@ -11,7 +11,8 @@ Whether two tokens stay apart is decided by undoing merges at their border, late
 first, and asking each time whether the border pair would have merged sooner.
 
 Defined results: a null text is read as an empty one and has no tokens; repeated
-rows give repeated equal results; other columns are ignored.
+rows, null and repeated doc_ids give a result for each row; a very long text is a chunk of its
+own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ how many tokens those are; both are computed once, so a word is counted by one p
 over its bytes without building a piece.
 
 Defined results: a null or empty text has no tokens; a byte that no token holds
-counts as one token; repeated rows give repeated equal results; other columns are
-ignored.
+counts as one token; repeated rows, null and repeated doc_ids give a result for each
+row; a very long text is a chunk of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
