@@ -278,13 +278,13 @@ def _later_links(groups: DataFrame, bodies: DataFrame, component: DataFrame, thr
     return links
 
 
-def _judged(documents: DataFrame, shingle: int, threshold: str, doc_id: str, text: str, k: int) -> DataFrame:
-    """A row for each document: doc_id, text_hash, n_shingles, root (a digest for each component; null without words), class_id, component_id."""
+def _judged(documents: DataFrame, shingle: int, threshold: str, doc_id: str, text: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text_hash, n_shingles, digest: null without words) and classes (id: their digest, row: the first of their rows, class_id, root: a digest for each component)."""
     limit, key = Fraction(threshold), fresh_key()
     rows = band_rows(float(limit), k)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     sketches = written(_sketches(docs, shingle, rows, k, key), "sketches")
-    row = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
     made = sketches.where(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("id")).agg(row, F.min("doc_id").alias("class_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     classes = written(made, "classes")
     # Sets that differ reach the threshold only from so many shingles on.
@@ -310,11 +310,8 @@ def _judged(documents: DataFrame, shingle: int, threshold: str, doc_id: str, tex
         component = connected_components(links.unionByName(later))
     for table in (bodies, groups, links, later):
         drop(table)
-    roots = classes.select("id", "class_id").join(component, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-    least = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of_class = roots.join(least, "root").withColumnRenamed("id", "digest")
-    out = sketches.select("doc_id", "text_hash", "n_shingles", "digest").join(of_class, "digest", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    roots = classes.select("id", "row", "class_id").join(component, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+    return sketches, roots
 
 
 def near_duplicates(
@@ -326,7 +323,11 @@ def near_duplicates(
     registers: int = REGISTERS,
 ) -> DataFrame:
     """A row for each document: doc_id, n_shingles, class_id (least doc_id with the same set), component_id, kept."""
-    out = _judged(documents, shingle, threshold, doc_id, text, registers).drop("text_hash", "root")
+    sketches, roots = _judged(documents, shingle, threshold, doc_id, text, registers)
+    least = roots.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    of_class = roots.drop("row").join(least, "root").withColumnRenamed("id", "digest")
+    out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -343,12 +344,13 @@ def one_of_each(
     It is the row with the least doc_id (one with an id if there is any, then the least hash of the text); of
     rows that repeat its id and text, any one.
     """
-    judged = written(_judged(documents, shingle, threshold, doc_id, text, registers).where(F.col("root").isNotNull()).select("doc_id", "text_hash", "root"), "judged")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = judged.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
-    members = judged.join(best, "root").groupBy("doc_id", "text_hash").agg(F.max(order == F.col("best")).alias("stays"), F.count("*").alias("n"))
+    sketches, roots = _judged(documents, shingle, threshold, doc_id, text, registers)
+    # Classes know the first row of each component, so no row is joined by its class or component, which may hold a third of all.
+    rows = sketches.where(F.col("digest").isNotNull()).select("doc_id", "text_hash", F.lit(1).alias("n"), F.lit(False).alias("stays"))
+    best = roots.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(0).alias("n"), F.lit(True).alias("stays"))
+    members = rows.unionByName(best).groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
     decided = written(members.where("n > 1 or not stays").select("doc_id", "text_hash", "stays"), "decided")
-    drop(judged)
+    drop(sketches)
     given = documents.columns
     own = documents.withColumns({"__id": F.col(doc_id), "__hash": F.xxhash64(text)}).alias("d")
 
