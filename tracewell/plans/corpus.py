@@ -20,6 +20,7 @@ from ..sources.codec import Writer
 from ..sources.ingest import decode_logs
 
 A_LOGS, B_LOGS = 8, 40
+WRITERS = 64  # tasks that logs are dealt to, so that those with several logs don't hold up the rest
 EPOCH_TICKS = 621355968000000000
 
 
@@ -78,6 +79,15 @@ def _rows_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 
 
+def _structs(column: pa.StructArray) -> list[dict | None]:
+    """The column's values, without fields that are null in all rows: of a body's fields few are used in a batch."""
+    fields = [(f.name, column.field(f.name)) for f in column.type]
+    used = [(name, child.to_pylist()) for name, child in fields if child.null_count < len(child)]
+    names = [name for name, _ in used]
+    found = [dict(zip(names, values, strict=True)) for values in zip(*(v for _, v in used), strict=True)] if used else [{}] * len(column)
+    return [x if valid else None for x, valid in zip(found, column.is_valid().to_pylist(), strict=True)]
+
+
 def encode_events(rows: DataFrame) -> DataFrame:
     """path (the log's id) and content (its bytes) from rows log_id, event_index, kind, context, ticks, message, body; a log is written in one task."""
 
@@ -85,17 +95,17 @@ def encode_events(rows: DataFrame) -> DataFrame:
         writer, log = None, None
         done = lambda: pa.RecordBatch.from_arrays([pa.array([log]), pa.array([writer.finished()], pa.binary())], names=["path", "content"])
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["log_id"] != log:
+            plain = [batch.column(c).to_pylist() for c in ("log_id", "kind", "message", "ticks")]
+            for log_id, kind, message, ticks, context, body in zip(*plain, _structs(batch.column("context")), _structs(batch.column("body")), strict=True):
+                if log_id != log:
                     if writer:
                         yield done()
-                    writer, log = Writer(), r["log_id"]
-                stamp = None if r["ticks"] is None else (r["ticks"], 1)
-                writer.event(r["kind"], {"message": r["message"], "context": r["context"], "timestamp": stamp}, r["body"])
+                    writer, log = Writer(), log_id
+                writer.event(kind, {"message": message, "context": context, "timestamp": None if ticks is None else (ticks, 1)}, body)
         if writer:
             yield done()
 
-    return rows.repartition("log_id").sortWithinPartitions("log_id", "event_index").mapInArrow(run, "path string, content binary")
+    return rows.repartition(WRITERS, "log_id").sortWithinPartitions("log_id", "event_index").mapInArrow(run, "path string, content binary")
 
 
 def _logs_c(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +132,7 @@ def _logs_c(spark: SparkSession, sf_dir: str) -> DataFrame:
         if held:
             yield done()
 
-    return docs.repartition("source").sortWithinPartitions("source", "doc_id").mapInArrow(run, "path string, content binary")
+    return docs.repartition(WRITERS, "source").sortWithinPartitions("source", "doc_id").mapInArrow(run, "path string, content binary")
 
 
 _known: dict[tuple, DataFrame] = {}
