@@ -127,13 +127,15 @@ def _first_outcome(events: DataFrame, kind: int, keys: list[str], name: str) ->
     return done.groupBy("log_id", *keys).agg(F.min_by(outcome, "event_index").alias("o")).select("log_id", *keys, F.col("o.ok").alias(name))
 
 
-def task_timeline(events: DataFrame, project_context_id: int | None = None, project: str | None = None) -> DataFrame:
-    """Targets and tasks of projects with the status of each one's first finish event. A context id wins over a project filter."""
+def task_timeline(events: DataFrame, project_context_id: int | None = None, project: str | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """Targets and tasks of projects with the status of each one's first finish event. A context id wins over a project filter.
+
+    With a context id each log has a row at least; a table of the logs spares a scan of all events for that.
+    """
     if project_context_id is not None:
         named = readable(of_kind(events, 3)).where((F.col("project_context_id") == project_context_id) & F.col("body.of_project").isNotNull())
         label = named.groupBy("log_id").agg(F.min_by("body.of_project", "event_index").alias("label"))
-        logs = events.select("log_id").distinct()
-        ps = logs.join(label, "log_id", "left").select("log_id", F.lit(project_context_id).alias("ctx"), F.lit(None).cast("long").alias("project_index"), F.coalesce("label", F.lit(f"<project_context_id={project_context_id}>")).alias("project"))
+        ps = (events if logs is None else logs).select("log_id").distinct().join(label, "log_id", "left").select("log_id", F.lit(project_context_id).alias("ctx"), F.lit(None).cast("long").alias("project_index"), F.coalesce("label", F.lit(f"<project_context_id={project_context_id}>")).alias("project"))
         events = events.where(F.col("project_context_id") == project_context_id)
     else:
         ps = projects(events, project).where("has_context").select("log_id", F.col("project_context_id").alias("ctx"), F.col("event_index").alias("project_index"), "project")
@@ -182,28 +184,18 @@ def neighbourhood(events: DataFrame, centres: DataFrame, radius: int = 10) -> Da
     """Events around each centre (log_id, event_index) within its scope: positions up to radius away.
 
     The scope is the task, target or project of the centre's context (an id of 0 is none; a task with one event
-    falls back to its target, or to its project), or the whole log without a context.  Each event gets its
-    position in all four scopes by windows; centres look up theirs, and windows of positions are equi-joined
-    through the at most 2 * radius + 1 positions that each centre asks for.
+    falls back to its target, or to its project), or the whole log without a context.  Scopes are chosen first, and
+    only events of chosen ones are numbered; in a whole log an event's index is its position.  Windows of positions
+    are equi-joined through the at most 2 * radius + 1 positions that each centre asks for.
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
-    wanted = centres.select("log_id", "event_index").distinct()
-    mine = events.join(wanted.select("log_id").distinct(), "log_id", "left_semi")
-    base = mine.select("log_id", "event_index", "has_context", "project_context_id", "target_id", "task_id")
-    none = F.lit(None).cast("int")
-    ctx, target, task = F.col("project_context_id"), F.col("target_id"), F.col("task_id")
-    scopes = F.array(
-        F.struct(F.lit("log").alias("scope"), none.alias("a"), none.alias("b"), none.alias("c")),
-        F.when(F.col("has_context"), F.struct(F.lit("project").alias("scope"), ctx.alias("a"), none.alias("b"), none.alias("c"))),
-        F.when(F.col("has_context"), F.struct(F.lit("target").alias("scope"), ctx.alias("a"), target.alias("b"), none.alias("c"))),
-        F.when(F.col("has_context"), F.struct(F.lit("task").alias("scope"), ctx.alias("a"), target.alias("b"), task.alias("c"))),
-    )
-    keyed = base.select("*", F.explode(F.filter(scopes, lambda s: s.isNotNull())).alias("s")).withColumn("key", F.concat_ws(":", "s.scope", "s.a", "s.b", "s.c"))
-    window = Window.partitionBy("log_id", "key")
-    placed = keyed.select("log_id", "event_index", "has_context", "project_context_id", "target_id", "task_id", F.col("s.scope").alias("scope"), "key", F.row_number().over(window.orderBy("event_index")).alias("place"), F.count("*").over(window).alias("size"))
-    centre = placed.join(wanted, ["log_id", "event_index"], "left_semi")
-    sizes = centre.groupBy("log_id", "event_index", "has_context", "project_context_id", "target_id", "task_id").agg(F.max(F.when(F.col("scope") == "task", F.col("size"))).alias("task_size"))
+    ids = {"task": ["project_context_id", "target_id", "task_id"], "target": ["project_context_id", "target_id"], "project": ["project_context_id"]}
+    base = events.select("log_id", "event_index", "has_context", *ids["task"])
+    centre = base.join(centres.select("log_id", "event_index").distinct(), ["log_id", "event_index"], "left_semi")
+    in_context = base.where("has_context")
+    tasks = centre.where("has_context and task_id <> 0").select("log_id", *ids["task"]).distinct()
+    sizes = in_context.join(tasks, ["log_id", *ids["task"]], "left_semi").groupBy("log_id", *ids["task"]).agg(F.count("*").alias("task_size"))
     by_target = F.when(F.col("target_id") != 0, "target")
     chosen = (
         F.when(~F.col("has_context"), "log")
@@ -211,7 +203,17 @@ def neighbourhood(events: DataFrame, centres: DataFrame, radius: int = 10) -> Da
         .when(F.col("task_id") != 0, F.coalesce(by_target, F.lit("project")))
         .otherwise(F.coalesce(by_target, F.when(F.col("project_context_id") != 0, "project"), F.lit("log")))
     )
-    picked = centre.join(sizes.select("log_id", "event_index", chosen.alias("scope")), ["log_id", "event_index", "scope"])
-    asked = picked.select("log_id", "key", "scope", F.col("event_index").alias("centre"), F.explode(F.sequence(F.col("place") - radius, F.col("place") + radius)).alias("place"))
-    found = placed.select("log_id", "key", "place", "event_index").join(asked, ["log_id", "key", "place"])
-    return found.select("log_id", "centre", "scope", "event_index")
+    picked = centre.join(sizes, ["log_id", *ids["task"]], "left").withColumn("scope", chosen)
+    around = F.explode(F.sequence(F.col("place") - radius, F.col("place") + radius)).alias("place")
+    of_log = picked.where("scope = 'log'").select("log_id", "scope", F.col("event_index").alias("centre"), F.col("event_index").alias("place"))
+    found = of_log.select("log_id", "centre", "scope", around).join(base.select("log_id", F.col("event_index").alias("place")), ["log_id", "place"])
+    found = found.select("log_id", "centre", "scope", F.col("place").alias("event_index"))
+    # Keys of scopes, with nulls where a scope has no such id.
+    own = lambda scope: F.struct(F.lit(scope).alias("scope"), *(F.col(c) if c in ids[scope] else F.lit(None).cast("int").alias(c) for c in ids["task"]))
+    of_scope = F.when(F.col("scope") == "task", own("task")).when(F.col("scope") == "target", own("target")).otherwise(own("project"))
+    mine = picked.where("scope <> 'log'").select("log_id", "event_index", of_scope.alias("s"))
+    members = in_context.select("log_id", "event_index", F.explode(F.array(*map(own, ids))).alias("s")).join(mine.select("log_id", "s").distinct(), ["log_id", "s"], "left_semi")
+    placed = members.withColumn("place", F.row_number().over(Window.partitionBy("log_id", "s").orderBy("event_index")))
+    asked = placed.join(mine, ["log_id", "s", "event_index"], "left_semi").select("log_id", "s", F.col("event_index").alias("centre"), around)
+    near = placed.join(asked, ["log_id", "s", "place"])
+    return found.unionByName(near.select("log_id", "centre", "s.scope", "event_index"))

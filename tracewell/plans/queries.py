@@ -130,15 +130,15 @@ left join l on l.l_orderkey = o_orderkey left join n t on t.kind = 7 and t.ord =
 query_b("tasks_per_target", B + "select 'b' || o.log_no as log_id, 'T' || o_orderkey as target, count(l.task) as tasks from o left join l on l_orderkey = o_orderkey group by o.log_no, o_orderkey")(
     lambda e: ops.project_tree(e).where("target is not null").groupBy("log_id", "target", "target_index").agg(F.count("task_index").alias("tasks")).drop("target_index")
 )
-query_b("timeline_by_context", B + """
+query("timeline_by_context", B + """
 select 'b' || o.log_no as log_id, 'p' || (o.c_custkey % 40) || '.csproj' as project, 'T' || o_orderkey as target, case when o_orderstatus = 'P' then '?' when o_orderstatus <> 'F' then 'ok' else 'FAILED' end as target_status, count(l.task) as tasks
 from o left join l on l_orderkey = o_orderkey where o.c_custkey in (select min(c_custkey) from o) group by all
-""")(lambda e: _timeline_of_first(e))
+""")(lambda s, d: _timeline_of_first(corpus(s, d, "b"), corpus(s, d, "b", "logs")))
 
 
-def _timeline_of_first(events: DataFrame) -> DataFrame:
+def _timeline_of_first(events: DataFrame, logs: DataFrame) -> DataFrame:
     first = ops.of_kind(events, 5).agg(F.min("project_context_id").alias("c")).first()["c"]
-    rows = ops.task_timeline(events, project_context_id=first).where("target is not null")
+    rows = ops.task_timeline(events, project_context_id=first, logs=logs).where("target is not null")
     return rows.groupBy("log_id", "project", "target", "target_status").agg(F.count("task").alias("tasks"))
 
 
