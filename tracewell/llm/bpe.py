@@ -31,7 +31,7 @@ from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, byte_characters, r
 from .textvec import chunks, held, map_texts
 
 
-PAIRS = 1_000_000  # remembered at most
+PAIRS, WORDS = 500_000, 250_000  # remembered at most; a worker with full ones took 236 MB
 
 
 class Merges:
@@ -141,7 +141,7 @@ class Codec:
         parsed = json.loads(vocabulary)
         self.special = special_tokens(parsed)
         self.merges = Merges(parsed)
-        self.cache = WordCache(self._encode)
+        self.cache = WordCache(self._encode, WORDS)
         size = max(self.merges.bytes) + 1
         pieces = [self.merges.bytes.get(i, b"") for i in range(size)]
         self.piece_size = np.array([len(p) for p in pieces], np.int64)
