@@ -187,15 +187,19 @@ def neighbourhood(events: DataFrame, centres: DataFrame, radius: int = 10) -> Da
     falls back to its target, or to its project), or the whole log without a context.  Scopes are chosen first, and
     only events of chosen ones are numbered; in a whole log an event's index is its position.  Windows of positions
     are equi-joined through the at most 2 * radius + 1 positions that each centre asks for.
+
+    All sides grow with the centres or the events, and a scan's estimated size (its files' size by the width of few of
+    many columns) is far below its true one, so all joins are merge joins: no side is ever sent to the driver.
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
+    joined = lambda left, right, on, how="inner": left.join(right.hint("merge"), on, how)
     ids = {"task": ["project_context_id", "target_id", "task_id"], "target": ["project_context_id", "target_id"], "project": ["project_context_id"]}
     base = events.select("log_id", "event_index", "has_context", *ids["task"])
-    centre = base.join(centres.select("log_id", "event_index").distinct(), ["log_id", "event_index"], "left_semi")
+    centre = joined(base, centres.select("log_id", "event_index").distinct(), ["log_id", "event_index"], "left_semi")
     in_context = base.where("has_context")
     tasks = centre.where("has_context and task_id <> 0").select("log_id", *ids["task"]).distinct()
-    sizes = in_context.join(tasks, ["log_id", *ids["task"]], "left_semi").groupBy("log_id", *ids["task"]).agg(F.count("*").alias("task_size"))
+    sizes = joined(in_context, tasks, ["log_id", *ids["task"]], "left_semi").groupBy("log_id", *ids["task"]).agg(F.count("*").alias("task_size"))
     by_target = F.when(F.col("target_id") != 0, "target")
     chosen = (
         F.when(~F.col("has_context"), "log")
@@ -203,17 +207,17 @@ def neighbourhood(events: DataFrame, centres: DataFrame, radius: int = 10) -> Da
         .when(F.col("task_id") != 0, F.coalesce(by_target, F.lit("project")))
         .otherwise(F.coalesce(by_target, F.when(F.col("project_context_id") != 0, "project"), F.lit("log")))
     )
-    picked = centre.join(sizes, ["log_id", *ids["task"]], "left").withColumn("scope", chosen)
+    picked = joined(centre, sizes, ["log_id", *ids["task"]], "left").withColumn("scope", chosen)
     around = F.explode(F.sequence(F.col("place") - radius, F.col("place") + radius)).alias("place")
     of_log = picked.where("scope = 'log'").select("log_id", "scope", F.col("event_index").alias("centre"), F.col("event_index").alias("place"))
-    found = of_log.select("log_id", "centre", "scope", around).join(base.select("log_id", F.col("event_index").alias("place")), ["log_id", "place"])
+    found = joined(of_log.select("log_id", "centre", "scope", around), base.select("log_id", F.col("event_index").alias("place")), ["log_id", "place"])
     found = found.select("log_id", "centre", "scope", F.col("place").alias("event_index"))
     # Keys of scopes, with nulls where a scope has no such id.
     own = lambda scope: F.struct(F.lit(scope).alias("scope"), *(F.col(c) if c in ids[scope] else F.lit(None).cast("int").alias(c) for c in ids["task"]))
     of_scope = F.when(F.col("scope") == "task", own("task")).when(F.col("scope") == "target", own("target")).otherwise(own("project"))
     mine = picked.where("scope <> 'log'").select("log_id", "event_index", of_scope.alias("s"))
-    members = in_context.select("log_id", "event_index", F.explode(F.array(*map(own, ids))).alias("s")).join(mine.select("log_id", "s").distinct(), ["log_id", "s"], "left_semi")
+    members = joined(in_context.select("log_id", "event_index", F.explode(F.array(*map(own, ids))).alias("s")), mine.select("log_id", "s").distinct(), ["log_id", "s"], "left_semi")
     placed = members.withColumn("place", F.row_number().over(Window.partitionBy("log_id", "s").orderBy("event_index")))
-    asked = placed.join(mine, ["log_id", "s", "event_index"], "left_semi").select("log_id", "s", F.col("event_index").alias("centre"), around)
-    near = placed.join(asked, ["log_id", "s", "place"])
+    asked = joined(placed, mine, ["log_id", "s", "event_index"], "left_semi").select("log_id", "s", F.col("event_index").alias("centre"), around)
+    near = joined(placed, asked, ["log_id", "s", "place"])
     return found.unionByName(near.select("log_id", "centre", "s.scope", "event_index"))
