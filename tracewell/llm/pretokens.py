@@ -13,6 +13,7 @@ import functools
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -177,13 +178,24 @@ class PreTokens:
         return True
 
 
+Flat = tuple[np.ndarray, np.ndarray]
+
+
+def flat(lists: Iterable[list[int]]) -> Flat:
+    """All values in order, and the lists' sizes."""
+    lists = list(lists)
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+
 class WordCache:
     """Integers computed for each distinct pre-token (its token ids, or their number), kept for a bounded number of words.
 
+    compute gives a list for each word, or flat() of these.
     When it is full, words met in one chunk only are forgotten, and of the others the half met in most chunks stays.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable[list[int]]], most: int = CACHE_WORDS):
+    def __init__(self, compute: Callable[[list[str]], Iterable[list[int]] | Flat], most: int = CACHE_WORDS):
         self.compute, self.most = compute, most
         self.slot: dict[bytes, int] = {}
         self.values, self.offsets, self.met = array("I"), array("q", [0]), array("I")
@@ -206,21 +218,26 @@ class WordCache:
         codes, keys = tokens.distinct()
         if len(self.slot) > self.most:
             self._forget()
-        slot = self.slot
-        missing = [key for key in keys if key not in slot]
-        for key, value in zip(missing, self.compute([key.decode() for key in missing]) if missing else (), strict=True):
-            slot[key] = len(self.offsets) - 1
-            self.values.extend(value)
-            self.offsets.append(len(self.values))
-            self.met.append(0)
-        own = np.fromiter(map(slot.__getitem__, keys), np.int64, len(keys))
+        own = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            missing = [keys[k] for k in new.tolist()]
+            found = self.compute([key.decode() for key in missing])
+            values, sizes = found if isinstance(found, tuple) else flat(found)
+            if len(sizes) != len(missing):
+                raise ValueError("not as many results as words")
+            known = len(self.met)
+            own[new] = np.arange(known, known + len(new))
+            self.offsets.frombytes((self.offsets[-1] + np.cumsum(sizes)).astype(np.int64).tobytes())
+            self.values.frombytes(values.astype(np.uint32).tobytes())
+            self.met.frombytes(bytes(4 * len(new)))
+            self.slot.update(zip(missing, range(known, known + len(new)), strict=True))
         np.frombuffer(self.met, np.uint32)[own] += 1
-        slots = own[codes]
-        starts = np.array(self.offsets)[slots]
-        sizes = np.array(self.offsets)[slots + 1] - starts
+        offsets = np.frombuffer(self.offsets, np.int64)
+        starts, sizes = offsets[own][codes], np.diff(offsets)[own][codes]
         to = np.concatenate([[0], np.cumsum(sizes)])
         index = np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])
-        return np.array(self.values)[index], to
+        return np.frombuffer(self.values, np.uint32)[index], to
 
 
 def special_tokens(vocabulary: dict) -> dict[str, int]:

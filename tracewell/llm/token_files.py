@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pretokens import BYTE_BPE, CHUNK, PreTokens, WordCache, read_vocabulary, special_tokens
+from .pretokens import BYTE_BPE, CHUNK, Flat, PreTokens, WordCache, flat, read_vocabulary, special_tokens, token_bytes
 from .store import new_path
 from .textvec import chunks, held, map_texts
 
@@ -41,44 +41,49 @@ OPTIONS = {
 }
 
 
-JOINED = 500
+JOINED = 100
 
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Each distinct pre-token is encoded once.
 
     Pre-tokens that begin with a blank stay apart when they are put together, so many are encoded
-    as one text and told apart by the library's word numbers; the others are encoded one by one.
+    as one text and told apart by the tokens that begin with a blank (without offsets and word numbers,
+    which the library takes longer for than for the ids); the others are encoded one by one.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
+        parsed = json.loads(vocabulary)
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = list(special_tokens(json.loads(vocabulary)))
+        self.special = list(special_tokens(parsed))
+        tokens = token_bytes(parsed)
+        self.begins = np.zeros(max(tokens) + 1, bool)
+        self.begins[[i for i, t in tokens.items() if t[:1] == b" "]] = True
         self.cache = WordCache(self._encode)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in words]
-        apart = [k for k, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-        together = set(apart)
-        others = [k for k in range(len(words)) if k not in together]
-        for k, e in zip(others, self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        for lo in range(0, len(apart), JOINED):
-            some = apart[lo : lo + JOINED]
-            e = self.tokenizer.encode("".join(words[k] for k in some), add_special_tokens=False)
-            numbers = np.array(e.word_ids, np.int64)
-            cuts = np.searchsorted(numbers, np.arange(len(some) + 1)).tolist()
-            if numbers[-1] + 1 != len(some):
-                raise ValueError("pre-tokens did not stay apart")
-            ids = e.ids
-            for k, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                out[k] = ids[a:b]
-        return out
+    def _ids(self, texts: list[str]) -> Flat:
+        return flat(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _encode(self, words: list[str]) -> Flat:
+        special = {w for w in self.special if w[:1] == " "}
+        joined = np.fromiter((w[0] == " " and len(w) > 1 and not w[1].isspace() and w not in special for w in words), bool, len(words))
+        apart, others = np.flatnonzero(joined), np.flatnonzero(~joined)
+        some = [words[k] for k in apart.tolist()]
+        ids, _ = self._ids(["".join(some[lo : lo + JOINED]) for lo in range(0, len(some), JOINED)])
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) != len(some):  # each has one blank, its first character
+            raise ValueError("pre-tokens did not stay apart")
+        more, more_sizes = self._ids([words[k] for k in others.tolist()])
+        values, own = np.concatenate([ids, more]), np.concatenate([np.diff(np.append(cuts, len(ids))), more_sizes])
+        order = np.concatenate([apart, others])
+        sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        sizes[order], starts[order] = own, np.cumsum(own) - own
+        return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(values))], sizes
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         tokens = PreTokens(column, self.special)
